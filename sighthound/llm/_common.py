@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in an Arrow batch handed to Python: keeps a batch of long texts small.
 ARROW_ROWS = 256
@@ -54,3 +55,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def utf8(text):
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
+
+
+def schema_of(df: DataFrame) -> T.StructType:
+    """A copy of the schema, free to be added to."""
+    return T.StructType(list(df.schema.fields))

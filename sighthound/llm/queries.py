@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
+from .media import op3_media_png
 from .mixing import OP5_SQL, op5_pareto_mix
 from .multiset_hash import op6_multiset_hash
+from .packing import op7_packing
 from .preference import OP4_SQL, op4_preference_format
+from .token_count import op2_token_count
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_count": op2_token_count,
+    "op3_media_png": op3_media_png,
     "op4_preference_format": op4_preference_format,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_multiset_hash": op6_multiset_hash,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL = {
