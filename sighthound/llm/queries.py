@@ -9,6 +9,7 @@ from .multiset_hash import op6_multiset_hash
 from .packing import op7_packing
 from .preference import OP4_SQL, op4_preference_format
 from .token_count import op2_token_count
+from .trie_join import OP10_SQL, op10_ngram_join
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -18,9 +19,11 @@ QUERIES = {
     "op5_pareto_mix": op5_pareto_mix,
     "op6_multiset_hash": op6_multiset_hash,
     "op7_packing": op7_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
     "op4_preference_format": OP4_SQL,
     "op5_pareto_mix": OP5_SQL,
+    "op10_ngram_join": OP10_SQL,
 }
