@@ -57,6 +57,6 @@ def utf8(text):
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
-def schema_of(df: DataFrame) -> T.StructType:
-    """A copy of the schema, free to be added to."""
-    return T.StructType(list(df.schema.fields))
+def schema_of(df: DataFrame, more: str = "") -> T.StructType:
+    """A copy of the schema, with the columns of a DDL string behind it."""
+    return T.StructType([*df.schema.fields, *(T.StructType.fromDDL(more).fields if more else [])])
