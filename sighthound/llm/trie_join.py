@@ -25,6 +25,9 @@ COUNTERS, SLICE = 1 << 20, 1 << 14
 CHUNK = 1024
 #: Tokens on one edge at most, so that a long edge can be left early.
 EDGE = 48
+#: Rare shingles that similar sets must share (or all that they need to have in common, where that is less), and the
+#: largest group at one shingle whose pairs are counted; sets of larger groups meet by the pivot however few they share.
+SHARE, SMALL = 8, 8
 NO_ID = -(1 << 63)
 
 
@@ -164,26 +167,42 @@ def signatures(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def meeting(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
-    """Distinct ``(pivot, node)``, pivot below node: sets that share a prefix shingle, each with the least set of that shingle."""
+    """Distinct ``(pivot, node)``, pivot below node: sets that share a prefix shingle, each with the least set of that shingle.
+
+    Sets whose sizes alone rule a link out don't meet: a set enters the class of its size's logarithm and the next one, so
+    sizes within the wanted ratio have a class in common. Prefixes are ``SHARE - 1`` shingles longer than one common
+    shingle needs, so sets that link share ``SHARE`` of them: pairs that meet in small groups only, and too seldom, go.
+    """
 
     def run(batches):
         import xxhash
 
         table, seen = counts.value, set()
         for batch in batches:
-            tokens, nodes = [], []
+            tokens, nodes, sizes = [], [], []
             for s in shingle_sets(batch["text"].to_pylist(), k):
                 node = xxhash.xxh3_64_intdigest(s.tobytes())
                 if len(s) and node not in seen:
                     seen.add(node)  # exact copies within a task post once
-                    tokens.append(s[order_key(s, table)[: len(s) - (percent * len(s) + 99) // 100 + 1]])
+                    tokens.append(s[order_key(s, table)[: len(s) - (percent * len(s) + 99) // 100 + SHARE]])
                     nodes.append(np.full(len(tokens[-1]), node, np.uint64))
+                    sizes.append(np.full(len(tokens[-1]), len(s), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64))], ["token", "node"])
-
-    posts = docs.select("text").mapInArrow(run, "token long, node long")
-    shared = posts.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").select("token", "pivot")
-    return posts.join(shared, "token").filter("pivot < node").select("pivot", "node").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(sizes))], ["token", "node", "n"])
+
+    posts = docs.select("text").mapInArrow(run, "token long, node long, n int")
+    several = posts.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("token")
+    size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))).cast("int")
+    shared = posts.join(several, "token").withColumn("size", F.explode(F.array(size, size + 1))).withColumn("own", F.col("size") == size)
+    shared = materialize(shared, "shared")
+    groups = shared.groupBy("token", "size").agg(F.min("node").alias("pivot"), F.max("node").alias("most"), F.count("*").alias("m")).filter("pivot < most").drop("most")
+    met = shared.join(groups, ["token", "size"])
+    large = met.filter((F.col("m") > SMALL) & (F.col("pivot") < F.col("node"))).select("pivot", "node")
+    pair = "transform(filter(g, b -> a.node < b.node and (a.own or b.own)), b -> struct(a.node as pivot, b.node as node, greatest(a.n, b.n) as n))"
+    small = met.filter(F.col("m") <= SMALL).groupBy("token", "size").agg(F.collect_set(F.struct("node", "own", "n")).alias("g"))
+    small = small.select(F.inline(F.expr(f"flatten(transform(g, a -> {pair}))"))).groupBy("pivot", "node").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    small = small.filter(F.col("c") >= F.least(F.lit(SHARE), F.ceil(F.col("n") * percent / 100))).select("pivot", "node")
+    return large.unionByName(small).distinct()
 
 
 def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
