@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -16,36 +17,55 @@ from ._common import documents, materialize, schema_of, small_batches, tokenizer
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, END_ID = 2048, 1
 #: White-space separated chunks that a Python worker keeps the ids of, and the longest it keeps.
-KEPT, LONGEST = 300_000, 48
+KEPT, LONGEST = 1_000_000, 48
+#: One word of Latin-1 letters, in lower case, and a stop or comma behind it: one or two pre-tokens, whatever stands around.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level pre-tokenization's letter for each byte: printable ones stand for themselves, the others go from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
 class Encoder(dict):
-    """Ids of texts under a tokenizer that splits at white space; a dict from UTF-8 chunk to little-endian ids.
+    """Ids of texts under a tokenizer that lower-cases and splits at white space and around letters; a dict from UTF-8 chunk
+    to little-endian ids.
 
-    Chunks between ASCII white space are encoded apart and kept. New ones of a batch go to the tokenizer together, with
-    its special ``mark`` between them; chunks that hold a special token's own string go alone.
+    Chunks between ASCII white space are encoded apart and kept. New plain words go to the tokenizer's model, other new
+    ones of a batch to the tokenizer together, with a control character between them that is a token by itself; chunks
+    that hold it or a special token's own string go alone.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         import tokenizers
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark = max(special)
-        self.mark_id = special[self.mark]
-        self.special = [x.encode() for x in special]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        (self.mark_id,) = self.ids(self.MARK).tolist()
+        self.behind = {x: self.ids(x).tobytes() for x in ".,"} | {"": b""}
+        self.alone = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [self.MARK.encode()]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Encode chunks; keeps the short ones and returns the long ones, which serve this batch only."""
-        long = {x: self.ids(x.decode()).tobytes() for x in chunks if len(x) > LONGEST or any(s in x for s in self.special)}
-        fresh = [x for x in chunks if x not in long]
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            ids = self.ids(self.mark.join(x.decode() for x in part))
+        long, rest = {}, []
+        for x in chunks:
+            if len(x) > LONGEST or any(a in x for a in self.alone):
+                long[x] = self.ids(x.decode()).tobytes()
+            elif m := PLAIN.fullmatch(x.decode().lower()):
+                ids = [t.id for t in self.model.tokenize(m[1].encode().decode("latin-1").translate(self.letters))]
+                self[x] = struct.pack(f"<{len(ids)}I", *ids) + self.behind[m[2]]
+            else:
+                rest.append(x)
+        for i in range(0, len(rest), 512):
+            part = rest[i : i + 512]
+            ids = self.ids(f" {self.MARK} ".join(x.decode() for x in part))
             cuts = np.flatnonzero(ids == self.mark_id)
             begin, end = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
             raw = ids.tobytes()
@@ -53,7 +73,8 @@ class Encoder(dict):
         return long
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        # A-Z may go first where no special token's string and no mark to compose with a letter is near.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         if len(self) > KEPT:
             self.clear()
         long = self.learn(set().union(*split) - self.keys())

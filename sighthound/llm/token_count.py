@@ -15,7 +15,7 @@ from ._common import documents, schema_of, small_batches, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Segments that a Python worker keeps the counts of, and the longest it keeps.
-KEPT, LONGEST = 400_000, 48
+KEPT, LONGEST = 800_000, 48
 
 
 class Merger(dict):

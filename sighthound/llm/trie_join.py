@@ -244,8 +244,12 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK) -> tuple[Da
             made = [(x, nodes[i]) for x in probes for i, _ in trie.probe(ranks[x], percent) if forest.join(x, nodes[i])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    # Spark's own runtime filter (of a bounded size) keeps texts without a part in a trie out of the exchange.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+
     def dealt(df: DataFrame) -> DataFrame:
-        joined = texts.join(df, "holder")
+        joined = texts.join(df.filter(F.col("chunk") >= 0) if dict(df.dtypes)["chunk"] == "int" else df, "holder")
         return joined.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
 
     made = materialize(dealt(members.select("holder", "pivot", "chunk", "node")).select("pivot", "chunk", "node", "text").mapInArrow(within, "pivot long, chunk int, a long, b long"), "tries")
