@@ -17,7 +17,7 @@ from ._common import documents, materialize, schema_of, small_batches, tokenizer
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, END_ID = 2048, 1
 #: White-space separated chunks that a Python worker keeps the ids of, and the longest it keeps.
-KEPT, LONGEST = 1_000_000, 48
+KEPT, LONGEST = 1_600_000, 48
 #: One word of Latin-1 letters, in lower case, and a stop or comma behind it: one or two pre-tokens, whatever stands around.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
@@ -30,56 +30,46 @@ def _byte_letters() -> dict[int, str]:
 
 class Encoder(dict):
     """Ids of texts under a tokenizer that lower-cases and splits at white space and around letters; a dict from UTF-8 chunk
-    to little-endian ids.
+    to little-endian ids that fills itself.
 
-    Chunks between ASCII white space are encoded apart and kept. New plain words go to the tokenizer's model, other new
-    ones of a batch to the tokenizer together, with a control character between them that is a token by itself; chunks
-    that hold it or a special token's own string go alone.
+    Chunks between ASCII white space are encoded apart and kept. Plain words need the tokenizer's model alone; the others
+    go through the whole tokenizer.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str):
         import tokenizers
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        (self.mark_id,) = self.ids(self.MARK).tolist()
-        self.behind = {x: self.ids(x).tobytes() for x in ".,"} | {"": b""}
-        self.alone = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [self.MARK.encode()]
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Encode chunks; keeps the short ones and returns the long ones, which serve this batch only."""
-        long, rest = {}, []
-        for x in chunks:
-            if len(x) > LONGEST or any(a in x for a in self.alone):
-                long[x] = self.ids(x.decode()).tobytes()
-            elif m := PLAIN.fullmatch(x.decode().lower()):
-                ids = [t.id for t in self.model.tokenize(m[1].encode().decode("latin-1").translate(self.letters))]
-                self[x] = struct.pack(f"<{len(ids)}I", *ids) + self.behind[m[2]]
-            else:
-                rest.append(x)
-        for i in range(0, len(rest), 512):
-            part = rest[i : i + 512]
-            ids = self.ids(f" {self.MARK} ".join(x.decode() for x in part))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            begin, end = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            raw = ids.tobytes()
-            self.update(zip(part, (raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)), strict=True))
-        return long
+        self.behind = {x: self.ids(x) for x in ".,"} | {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            new = self.word(chunk.decode().lower())
+        elif chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
+            new = self[chunk[:-1]] + self.behind[chunk[-1:].decode()]
+        elif m := PLAIN.fullmatch(chunk.decode().lower()):
+            new = self.word(m[1].encode().decode("latin-1").translate(self.letters)) + self.behind[m[2]]
+        else:
+            new = self.ids(chunk.decode())
+        if len(chunk) <= LONGEST:
+            self[chunk] = new
+        return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # A-Z may go first where no special token's string and no mark to compose with a letter is near.
-        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         if len(self) > KEPT:
             self.clear()
-        long = self.learn(set().union(*split) - self.keys())
-        if long:
-            return [b"".join([long[c] if c in long else self[c] for c in chunks]) for chunks in split]
+        # A-Z may go first where no special token's string and no mark to compose with a letter is near.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
 
 
@@ -100,7 +90,7 @@ def tokenize(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
 
         encode, part, gone = encoder(path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encode([(x or "").encode() for x in batch[text].to_pylist()])]
+            ids = [x + end for x in encode([x or b"" for x in batch[text].cast(pa.binary()).to_pylist()])]
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             before = gone + np.cumsum(n) - n
             gone += int(n.sum())
@@ -146,7 +136,7 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pack(docs: DataFrame, text: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """Tokenize, store the ids in the shared folder, and cut; see ``tokenize`` and ``cut``. An empty table gives no pieces."""
-    return cut(materialize(tokenize(docs, text, tokenizer).drop(text), "pack-ids"), window)
+    return cut(materialize(tokenize(docs, text, tokenizer).drop(text), "pack-ids", "snappy"), window)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
