@@ -23,6 +23,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the training sample for each language: documents expected (by a threshold on a hash of doc_id) and words kept.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_LETTERS = 1000, 30_000, 24
 ROUNDS, SMOOTH, FLOOR, UNKNOWN = 3, 0.02, 1e-8, 1e-9
+#: Words whose lattices go through a round together: bounds the memory of training.
+BLOCK = 5000
 #: Words whose scores a Python worker keeps.
 KEPT_WORDS = 300_000
 
@@ -68,9 +70,9 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), lengths + 1)
         depth = end - self.first[word[end - 1]]
         order = np.lexsort((end, depth))
-        self.end, self.start, self.piece = end[order], (end - size)[order], piece[order]
+        self.end, self.start, self.piece = (x[order].astype(np.int32) for x in (end, end - size, piece))
         self.steps = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=1))])[1:]
-        self.lengths, self.word = lengths, word
+        self.lengths, self.word = lengths, word.astype(np.int32)
 
     def forward(self, p: np.ndarray, keep: bool = False):
         """Log probability of each word under each column of ``p``; with ``keep`` the unscaled forward values too."""
@@ -109,20 +111,24 @@ class Lattice:
 
 def expectation_maximisation(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by language from word counts (words by languages), each round with expected counts over all segmentations."""
-    lattice, pieces = Lattice(words, path), automaton(path)[1]
-    uses = np.bincount(lattice.piece, minlength=pieces + 1).astype(float)
+    pieces, unknown = automaton(path)[1] + 1, automaton(path)[1]
+    blocks = [(Lattice(words[i : i + BLOCK], path), counts[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+    uses = sum(np.bincount(lattice.piece, minlength=pieces) for lattice, _ in blocks).astype(float)
     p = np.repeat((uses / uses.sum())[:, None], counts.shape[1], axis=1)
     for _ in range(rounds):
-        total, alpha = lattice.forward(p, keep=True)
-        beta = lattice.backward(p)
-        weight = (counts / np.maximum(total, 1e-300))[lattice.word[lattice.end - 1]]
-        used = alpha[lattice.start] * p[lattice.piece] * beta[lattice.end] * weight
-        want = np.stack([np.bincount(lattice.piece, used[:, k], pieces + 1) for k in range(counts.shape[1])], axis=1)
-        want[lattice.unknown] = 0
+        want = np.zeros_like(p)
+        for lattice, n in blocks:
+            total, alpha = lattice.forward(p, keep=True)
+            beta = lattice.backward(p)
+            weight = (n / np.maximum(total, 1e-300))[lattice.word[lattice.end - 1]]
+            used = alpha[lattice.start] * p[lattice.piece] * beta[lattice.end] * weight
+            for k in range(p.shape[1]):
+                want[:, k] += np.bincount(lattice.piece, used[:, k], pieces)
+        want[unknown] = 0
         p = want / np.maximum(want.sum(axis=0), 1e-300)
     both = p.mean(axis=1, keepdims=True)
     p = (1 - SMOOTH) * p + SMOOTH * both + FLOOR
-    p[lattice.unknown] = UNKNOWN
+    p[unknown] = UNKNOWN
     return p
 
 
