@@ -147,7 +147,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int
     docs = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
-        return [], np.zeros((automaton(path)[1] + 1, 0)), path
+        return [], np.zeros((1, 0)), path
     langs = sorted(sizes)
     below = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(min(1, docs_per_language / n) * (1 << 30)) + 1)) for k, n in sizes.items()))
     sample = docs.filter(F.col("h") < below[F.col("lang")])
@@ -165,14 +165,19 @@ def train(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int
     small_batches(docs.sparkSession)
     words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words_per_language)
-    got = ranked.select("lang", "word", "n").toPandas()
-    names = sorted(set(got["word"]))
-    if not names:
-        return langs, np.full((automaton(path)[1] + 1, len(langs)), FLOOR), path
-    counts = np.zeros((len(names), len(langs)))
-    at = {w: i for i, w in enumerate(names)}
-    counts[got["word"].map(at), got["lang"].map({x: i for i, x in enumerate(langs)})] = got["n"]
-    return langs, expectation_maximisation(names, counts, path), path
+
+    def fit(batches):
+        names: dict[str, int] = {}
+        rows = [(names.setdefault(w, len(names)), langs.index(x), n) for b in batches for x, w, n in zip(*(b[c].to_pylist() for c in ("lang", "word", "n")), strict=True)]
+        counts = np.zeros((len(names), len(langs)))
+        for w, x, n in rows:
+            counts[w, x] = n
+        p = expectation_maximisation(list(names), counts, path) if names else np.full((automaton(path)[1] + 1, len(langs)), FLOOR)
+        yield pa.RecordBatch.from_arrays([pa.array([p.astype("<f8").tobytes()], pa.binary())], ["p"])
+
+    # The bounded sample goes to one task; the driver gets the model alone.
+    (model,) = ranked.select("lang", "word", "n").repartition(1).mapInArrow(fit, "p binary").collect()
+    return langs, np.frombuffer(model["p"], "<f8").reshape(-1, len(langs)), path
 
 
 class Scorer:
@@ -216,7 +221,8 @@ def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
     def run(batches):
         score = Scorer(p, path)
         for batch in batches:
-            logs, n = score(batch[text].to_pylist())
+            texts = batch[text].to_pylist()
+            logs, n = score(texts) if langs else (None, np.zeros(len(texts), np.int64))
             pred, top = ["und"] * len(n), np.zeros(len(n))
             if langs:
                 best = logs.argmax(axis=1)
