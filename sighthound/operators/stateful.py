@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +85,120 @@ def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
         return pa.table({"key": list(lead), "leader": list(lead.values())})
 
     return t.groupBy("camera", "entity_type").applyInArrow(run, "key long, leader long")
+
+
+def islands(df: DataFrame, keys: list[str], start: str, end: str, max_gap: Column) -> DataFrame:
+    """Append ``island``: a new one starts where a row begins more than ``max_gap`` after all before it ended, so no merge crosses."""
+    w = W.partitionBy(*keys).orderBy(start, end)
+    before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce((F.col(start) - before > max_gap).cast("int"), F.lit(0))
+    return df.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("new")
+
+
+def merge_fragments(t: DataFrame, person_iou: float = 0.3, vehicle_iou: float = 0.2) -> DataFrame:
+    """Fragments of one track: by first frame, a track takes in later ones near in time, place and looks. Gives each ``key`` its ``leader``.
+
+    The gap is counted from the leader's growing end; box and vector stay the leader's. Persons up to 90 s apart need the
+    place or the looks, vehicles up to 600 s both (and like sizes), or nearly the same box where there are no vectors.
+    Stretches of time between which nothing can merge go to tasks of their own.
+    """
+    import numpy as np
+
+    cols = ("first_frame", "key", "first_ts", "last_ts", "x1", "y1", "x2", "y2", "embedding")
+
+    def run(table: pa.Table) -> pa.Table:
+        car = table["entity_type"][0].as_py() == "vehicle"
+        rows = sorted(zip(*(table[c].to_pylist() for c in cols), strict=True), key=lambda r: r[:2])
+        vec = [None if r[8] is None else np.asarray(r[8], np.float64) for r in rows]
+        size = [(r[6] - r[4]) * (r[7] - r[5]) for r in rows]
+        lead = [-1] * len(rows)
+        for i, a in enumerate(rows):
+            if lead[i] >= 0:
+                continue
+            lead[i], end = i, a[3]
+            for j in range(i + 1, len(rows)):
+                b = rows[j]
+                gap = b[2] - end
+                if lead[j] >= 0 or gap > (600 if car else 90):
+                    continue
+                looks = None if vec[i] is None or vec[j] is None else float(vec[i] @ vec[j])
+                if looks is not None and looks < 0.62:
+                    continue
+                place, alike = iou(a[4:8], b[4:8]), looks is not None and looks >= (0.62 if gap < 30 else 0.75)
+                big = max(size[i], size[j])
+                if car:
+                    same = (big <= 0 or min(size[i], size[j]) / big >= 0.4) and (place >= 0.7 if looks is None else place >= vehicle_iou and alike)
+                else:
+                    same = place >= (0.5 if looks is None else person_iou) or alike
+                if same:
+                    lead[j], end = i, max(end, b[3])
+        return pa.table({"key": [r[1] for r in rows], "leader": [rows[k][1] for k in lead]})
+
+    gap = F.when(F.col("entity_type") == "vehicle", 600.0).otherwise(90.0)
+    parts = islands(t, ["camera", "entity_type"], "first_ts", "last_ts", gap)
+    return parts.select("camera", "entity_type", "island", *cols).groupBy("camera", "entity_type", "island").applyInArrow(run, "key long, leader long")
+
+
+def spatial_leaders(d: DataFrame, group: list[str], id_col: str, radius: float) -> DataFrame:
+    """Boxes by falling ``conf`` join the first leader whose centre is under ``radius`` away, else lead. Gives ``(*group, id, leader)``.
+
+    Rows stream through sorted partitions; a task holds the leaders of one group only, in a grid of ``radius`` cells.
+    """
+    import math
+
+    fields = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    rows = d.select(*group, "conf", F.col(id_col).alias("id"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy")).dropna(subset=["cx", "cy"])
+    rows = rows.repartition(*group).sortWithinPartitions(*group, F.desc("conf"), "id")
+    n = len(group)
+
+    def run(batches):
+        key, grid, born = None, {}, 0
+        for batch in batches:
+            ids, leads = [], []
+            table = batch.to_pydict()
+            for r in zip(*(table[c] for c in (*group, "id", "cx", "cy")), strict=True):
+                if r[:n] != key:
+                    key, grid, born = r[:n], {}, 0
+                i, x, y = r[n:]
+                gx, gy = math.floor(x / radius), math.floor(y / radius)
+                near = [k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in grid.get((gx + dx, gy + dy), ()) if math.hypot(k[2] - x, k[3] - y) < radius]
+                if near:
+                    leads.append(min(near)[1])
+                else:
+                    grid.setdefault((gx, gy), []).append((born, i, x, y))
+                    born += 1
+                    leads.append(i)
+                ids.append(i)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in group), pa.array(ids, pa.int64()), pa.array(leads, pa.int64())], [*group, "id", "leader"])
+
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in group) + ", id long, leader long"
+    return rows.mapInArrow(run, schema)
+
+
+def deduplicate_people(df: DataFrame, group: str, id_col: str, threshold: float = 0.47, least_area: float = 2500.0) -> DataFrame:
+    """Leaders by falling box area: a person joins the first leader of like looks that isn't in the same or the next frame. Small boxes go unless a group has no others."""
+    import numpy as np
+
+    big = F.max("area").over(W.partitionBy(group)) >= least_area
+    kept = df.withColumn("big", big).filter(~F.col("big") | (F.col("area") >= least_area)).filter("embedding is not null")
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("area", id_col, "frame_idx", "embedding")), strict=True), key=lambda r: (-r[0], r[1]))
+        v, frames = np.array([r[3] for r in rows], np.float64), np.array([r[2] for r in rows])
+        leaders, lead = [], []
+        for i, r in enumerate(rows):
+            hit = np.flatnonzero((v[leaders] @ v[i] >= threshold) & (np.abs(frames[leaders] - frames[i]) > 1)) if leaders else []
+            lead.append(rows[leaders[hit[0]]][1] if len(hit) else r[1])
+            if not len(hit):
+                leaders.append(i)
+        return pa.table({id_col: [r[1] for r in rows], "leader": lead})
+
+    return kept.select(group, "area", id_col, "frame_idx", "embedding").groupBy(group).applyInArrow(run, f"{id_col} long, leader long")
+
+
+def deduplicate_vehicles(df: DataFrame, group: str, id_col: str, threshold: float = 0.7) -> DataFrame:
+    """Leaders by falling box area; a cluster is shown by the largest vehicle with a plate, or the largest. Gives ``(leader, representative, n)``."""
+    ranked = df.withColumn("smaller", -F.col("area"))
+    lead = leader_dedup(ranked.filter("embedding is not null"), group, ["smaller", id_col], id_col, "embedding", threshold)
+    best = F.struct("has_plate", "area", (-F.col(id_col)).alias("early"))
+    return lead.join(df.select(id_col, "has_plate", "area"), id_col).groupBy("leader").agg(F.max_by(id_col, best).alias("representative"), F.count("*").alias("n"))
