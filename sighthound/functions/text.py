@@ -37,3 +37,43 @@ def clock(seconds: Column) -> Column:
     s = F.floor(seconds) % 86400
     two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
     return F.concat_ws(":", two(s / 3600), two(s % 3600 / 60), two(s % 60))
+
+
+def gap_text(seconds: Column) -> Column:
+    """``42s`` or ``1.5m``, half to even."""
+    return F.when(seconds < 60, F.concat(F.bround(seconds).cast("long").cast("string"), F.lit("s"))).otherwise(F.concat(F.format_string("%.1f", F.bround(seconds / 60, 1)), F.lit("m")))
+
+
+def away_text(seconds: Column) -> Column:
+    """``42s``, ``17min`` or ``2h 5m``."""
+    whole = F.floor(seconds)
+    near = lambda x: F.bround(x).cast("long").cast("string")
+    return (
+        F.when(seconds < 60, F.concat(near(seconds), F.lit("s")))
+        .when(seconds < 3600, F.concat(near(seconds / 60), F.lit("min")))
+        .otherwise(F.concat(F.floor(whole / 3600).cast("string"), F.lit("h "), F.floor(whole % 3600 / 60).cast("string"), F.lit("m")))
+    )
+
+
+def overlay_time(text: Column) -> Column:
+    """``YYYY-MM-DD HH:MM:SS`` in what was read off a picture, common misreadings mended; null where there is none."""
+    # What is mended, in this order.
+    for pattern, put in ((r"(\d)\s*:\s*(\d)", "$1:$2"), (r"(\d)\s*-\s*(\d)", "$1-$2"), ("_", "-"), (r"(\d),(\d)", "$1 $2"), (r"\b([12])\d(\d{3})\b", "$1$2")):
+        text = F.regexp_replace(text, pattern, put)
+    found = r"(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})"
+    return F.nullif(F.concat_ws(" ", F.nullif(F.regexp_extract(text, found, 1), F.lit("")), F.nullif(F.regexp_extract(text, found, 2), F.lit(""))), F.lit(""))
+
+
+def whole_number(text: Column) -> Column:
+    """A number's whole part, cut towards zero; null where it can't be read."""
+    return text.try_cast("double").try_cast("long")
+
+
+def moment(date: Column, start: Column, seconds: Column) -> Column:
+    """Time of day ``start`` (HH:MM:SS) on ``date`` (2000-01-01 without one) plus seconds."""
+    at = F.to_timestamp_ntz(F.concat_ws(" ", F.coalesce(date, F.lit("2000-01-01")), start), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.timestamp_add("SECOND", seconds.cast("int"), at)
+
+
+def confidence_band(share: Column) -> Column:
+    return F.when(share * 100 >= 60, "success").when(share * 100 >= 30, "warning").otherwise("info")

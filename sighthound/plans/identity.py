@@ -16,8 +16,8 @@ from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import GALLERY_SQL as G
 from ..sources.tables import detections, gallery, table
 
-#: The vectors of the test tables are near random, so matches need less likeness than real ones.
-LIMITS = I.Limits(person=0.40, vehicle=0.40)
+#: The vectors of the test tables are near random and their clips last a month, so matches need less likeness, edges are shorter and journeys' gaps longer than with real ones.
+LIMITS = I.Limits(person=0.40, vehicle=0.40, edge=0.001, brief_edge=0.001, journey_gap=7200.0)
 
 
 def entities(spark, sf):

@@ -32,7 +32,7 @@ def distinct_cameras(spark, sf):
 
 def entity_search(spark, sf):
     p = table(spark, sf, "part")
-    return p.filter(F.col("p_name").ilike("%a%") & F.col("p_size").between(5, 20) & F.col("p_brand").isin([r.p_brand for r in p.select("p_brand").distinct().orderBy("p_brand").limit(3).collect()])).select("p_partkey", "p_name", "p_brand")
+    return p.filter(F.col("p_name").ilike("%a%") & F.col("p_size").between(5, 20) & F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13")).select("p_partkey", "p_name", "p_brand")
 
 
 def class_gates(spark, sf):
@@ -73,7 +73,7 @@ def class_stats(spark, sf):
 def risk_flags(spark, sf):
     d = detections(spark, sf)
     level = F.when(F.col("conf") > 0.98, "critical").when(F.col("conf") > 0.9, "warning").otherwise("info")
-    return d.filter("event_id % 7 = 0").withColumn("severity", level)
+    return d.withColumn("severity", level)
 
 
 def risk_class(spark, sf):
@@ -114,8 +114,8 @@ def grid_hist(spark, sf, cell: int = 50):
 
 def manifest_verify(spark, sf):
     """Stored against present hashes: MATCH, MISMATCH or NOT_FOUND, by path or hash, the first entry of the manifest counting."""
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha"))
-    manifest = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("ord"), F.col("path").alias("m_path"), F.when(F.col("doc_id") % 10 == 1, F.sha2("path", 256)).otherwise(F.col("sha")).alias("m_sha"))
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.concat(F.lit("/v/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha"))
+    manifest = docs.filter("n_chars <= 2000").select(F.col("doc_id").alias("ord"), F.col("path").alias("m_path"), F.when(F.col("n_chars") < 200, F.sha2("path", 256)).otherwise(F.col("sha")).alias("m_sha"))
     by_path = docs.join(manifest, F.col("path") == F.col("m_path")).select("doc_id", "ord", "m_sha")
     by_sha = docs.join(manifest, F.col("sha") == F.col("m_sha")).select("doc_id", "ord", "m_sha")
     first = by_path.unionByName(by_sha).groupBy("doc_id").agg(F.min("ord").alias("ord"), F.min_by("m_sha", "ord").alias("m_sha"))
@@ -141,13 +141,13 @@ def latest_run(spark, sf):
     return detections(spark, sf).groupBy("camera").agg(F.max_by("track_id", F.struct("ts_sec", "event_id")).alias("track_id"), F.max("ts_sec").alias("ts_sec"))
 
 
-RISK = f"WITH {D}, f AS (SELECT *, CASE WHEN conf > 0.98 THEN 'critical' WHEN conf > 0.9 THEN 'warning' ELSE 'info' END AS severity FROM d WHERE event_id % 7 = 0)"
+RISK = f"WITH {D}, f AS (SELECT *, CASE WHEN conf > 0.98 THEN 'critical' WHEN conf > 0.9 THEN 'warning' ELSE 'info' END AS severity FROM d)"
 P = "w / h BETWEEN {} AND {} AND w >= {} AND h >= {}"
 PLANS = {
     "class_stats": (class_stats, f"WITH {D} SELECT class_name, count(*) AS n, min(frame_idx) AS first_frame, first(ts_sec ORDER BY frame_idx, event_id) AS first_ts, max(frame_idx) AS last_frame, first(ts_sec ORDER BY frame_idx DESC, event_id) AS last_ts FROM d GROUP BY class_name"),
     "detections_filter": (detections_filter, f"WITH {D} SELECT event_id, camera, frame_idx, ts_sec FROM d WHERE class_name = 'click' AND conf >= 0.5 AND ts_sec >= 1000.0 AND ts_sec <= 900000.0"),
     "distinct_cameras": (distinct_cameras, f"WITH {D} SELECT DISTINCT camera FROM d"),
-    "entity_search": (entity_search, "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%a%' AND p_size BETWEEN 5 AND 20 AND p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3)"),
+    "entity_search": (entity_search, "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%a%' AND p_size BETWEEN 5 AND 20 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')"),
     "class_gates": (class_gates, f"WITH {D} SELECT camera, entity_type, count(*) AS n FROM d WHERE conf >= CASE WHEN entity_type = 'person' THEN 0.25 ELSE 0.30 END GROUP BY ALL"),
     "plate_presets": (plate_presets, f"WITH {D} SELECT camera, " + ", ".join(f"count(*) FILTER ({P.format(*v)}) AS {k}" for k, v in PLATE_PRESETS.items()) + " FROM d GROUP BY camera"),
     "report_summary": (report_summary, f"WITH {D} SELECT camera, count(DISTINCT frame_idx) AS frames, count(*) AS detections, min(ts_sec) AS start_ts, max(ts_sec) AS end_ts FROM d GROUP BY camera"),
@@ -160,8 +160,8 @@ PLANS = {
  h AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS r FROM g)
  SELECT source, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM h"""),
     "grid_hist": (grid_hist, f"WITH {D}, c AS (SELECT DISTINCT camera, floor(x1 / 50)::BIGINT AS cx, floor(y1 / 50)::BIGINT AS cy FROM d) SELECT c.camera, cx, cy, count(*) AS n FROM c JOIN d ON c.camera = d.camera AND abs(x1 - cx * 50) < 50 AND abs(y1 - cy * 50) < 50 GROUP BY ALL"),
-    "manifest_verify": (manifest_verify, """WITH x AS (SELECT doc_id, '/v/' || doc_id AS path, sha256(text) AS sha FROM documents),
- m AS (SELECT doc_id AS ord, path AS m_path, CASE WHEN doc_id % 10 = 1 THEN sha256(path) ELSE sha END AS m_sha FROM x WHERE doc_id % 3 <> 0),
+    "manifest_verify": (manifest_verify, """WITH x AS (SELECT doc_id, n_chars, '/v/' || doc_id AS path, sha256(text) AS sha FROM documents),
+ m AS (SELECT doc_id AS ord, path AS m_path, CASE WHEN n_chars < 200 THEN sha256(path) ELSE sha END AS m_sha FROM x WHERE n_chars <= 2000),
  j AS (SELECT doc_id, ord, m_sha FROM x JOIN m ON path = m_path UNION ALL SELECT doc_id, ord, m_sha FROM x JOIN m ON sha = m_sha),
  f AS (SELECT doc_id, min(ord) AS ord, min_by(m_sha, ord) AS m_sha FROM j GROUP BY doc_id)
  SELECT x.doc_id, f.ord, CASE WHEN m_sha IS NULL THEN 'NOT_FOUND' WHEN m_sha = sha THEN 'MATCH' ELSE 'MISMATCH' END AS state FROM x LEFT JOIN f ON x.doc_id = f.doc_id"""),
