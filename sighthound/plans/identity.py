@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import temporal_bonus
 from ..operators import identities as I
 from ..operators.evaluation import match_truth, reid_counts, tracking_scores
+from ..operators.evidence import archive_names, case_summary, journey_steps, manifest_totals
 from ..operators.graph import components
 from ..operators.joins import alike_boxes, similar_pairs
 from ..operators.stateful import merge_fragments, spatial_leaders
@@ -116,7 +117,34 @@ def reid_eval(spark, sf):
     return reid_counts(claims)
 
 
+def case_file(spark, sf):
+    """Counts of the case: identities, those on several cameras, returns."""
+    e, _, found, seen = _resolved(spark, sf)
+    made = I.durable(I.journeys(I.events(e, seen, LIMITS), seen, I.directions(e, found), LIMITS))
+    return case_summary(seen, I.round_trips(made, LIMITS))
+
+
+def steps(spark, sf):
+    e, _, found, seen = _resolved(spark, sf)
+    return journey_steps(I.durable(I.journeys(I.events(e, seen, LIMITS), seen, I.directions(e, found), LIMITS)), seen)
+
+
+def evidence_totals(spark, sf):
+    return manifest_totals(table(spark, sf, "documents").select(F.octet_length("text").cast("long").alias("size_bytes")))
+
+
+def crop_names(spark, sf):
+    """Names of the pictures of the persons' segments, a track standing for an identity."""
+    t = tracklets(detections(spark, sf)).filter("entity_type = 'person'")
+    s = t.select(F.col("track_id").alias("unified_id"), "camera", "first_ts", F.col("segment").alias("entity_id"), F.concat(F.lit("/crops/"), F.col("class_name"), F.lit(".jpg")).alias("crop_path"))
+    return archive_names(s, "person").select("unified_id", "entity_id", "archive_name")
+
+
 PLANS = {
+    "case_file": case_file,
+    "journey_steps": steps,
+    "evidence_totals": (evidence_totals, "SELECT count(*) AS total_files, sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents"),
+    "crop_names": (crop_names, f"""WITH {D}, {T} SELECT track_id AS unified_id, segment AS entity_id, 'crops/persons/P' || track_id || '_sighting_' || row_number() OVER (PARTITION BY track_id ORDER BY first_ts, segment) || '_' || camera || '.jpg' AS archive_name FROM t WHERE entity_type = 'person'"""),
     "cross_camera_score": (pair_scores, f"""WITH {G}, p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) AS s, x.vec_id * 7.0::DOUBLE AS a0, x.vec_id * 7.0::DOUBLE + 60 AS a1, y.vec_id * 7.0::DOUBLE AS b0, y.vec_id * 7.0::DOUBLE + 60 AS b1 FROM g AS x JOIN g AS y ON x.vec_id < y.vec_id AND x.camera <> y.camera),
  q AS (SELECT a, b, s, least(abs(a0 - b0), abs(a0 - b1), abs(a1 - b0), abs(a1 - b1)) AS gap FROM p WHERE s >= 0.3) SELECT a, b, round(s + CASE WHEN gap < 300 THEN 0.15::DOUBLE * (1 - gap / 300) ELSE 0 END, 6) AS score FROM q"""),
     "within_camera_best": (within_camera_best, f"WITH {G}, p AS (SELECT x.vec_id, list_dot_product(x.v, y.v) AS s FROM g AS x JOIN g AS y ON x.vec_id <> y.vec_id AND x.camera = y.camera) SELECT vec_id, round(max(s), 6) AS best FROM p WHERE s >= 0.25 GROUP BY vec_id"),

@@ -229,3 +229,15 @@ def test_evaluation(spark):
     claims = [(1, 1, "a"), (1, 1, "b"), (2, 2, "a"), (2, 3, "b"), (3, 2, "b"), (4, None, "a")]
     r = reid_counts(spark.createDataFrame(claims, "identity long, gt long, camera string")).first()
     assert (r["true_positives"], r["false_positives"], r["false_negatives"], r["precision"]) == (1, 1, 0, 0.5)
+
+
+def test_evidence(spark):
+    from sighthound.operators.evidence import archive_names, case_summary, journey_steps, manifest_totals
+
+    assert tuple(manifest_totals(spark.createDataFrame([(3,), (None,)], "size_bytes long")).first()) == (2, 3)
+    s = spark.createDataFrame([(1, "a", 5.0, 2, "/x/q.jpg"), (1, "b", 1.0, 3, None), (2, "a", 0.0, 4, "y.png")], "unified_id long, camera string, first_ts double, entity_id long, crop_path string")
+    assert {r["archive_name"] for r in archive_names(s, "person").collect()} == {"crops/persons/P1_sighting_2_a.jpg", "crops/persons/P2_sighting_1_a.png"}
+    seen = spark.createDataFrame([("person", 1, "a", 5.0, True), ("person", 1, "b", 50.0, True), ("vehicle", 1, "a", 0.0, False)], "entity_type string, unified_id long, camera string, first_ts double, matched boolean")
+    j = spark.createDataFrame([(1, 1, "departure", 20.0, "a")], "vehicle_id long, person_id long, event string, event_ts double, camera string")
+    assert [(r["step"], r["gap"]) for r in journey_steps(j, seen).orderBy("ts").collect()] == [("person", 15.0), ("vehicle", 30.0), ("person", None)]
+    assert tuple(case_summary(seen, j.filter("false")).first()) == (1, 1, 1, 0)
