@@ -79,7 +79,9 @@ def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
                 continue
             lead[key] = key
             for first, other, end, *other_box in rows[i + 1 :]:
-                if other not in lead and first <= last and iou(box, other_box) >= threshold:
+                if first > last:
+                    break  # rows come by first frame
+                if other not in lead and iou(box, other_box) >= threshold:
                     lead[other] = key
                     last = max(last, end)
         return pa.table({"key": list(lead), "leader": list(lead.values())})
@@ -111,15 +113,19 @@ def merge_fragments(t: DataFrame, person_iou: float = 0.3, vehicle_iou: float =
         rows = sorted(zip(*(table[c].to_pylist() for c in cols), strict=True), key=lambda r: r[:2])
         vec = [None if r[8] is None else np.asarray(r[8], np.float64) for r in rows]
         size = [(r[6] - r[4]) * (r[7] - r[5]) for r in rows]
+        most = 600 if car else 90
+        earliest = np.minimum.accumulate([r[2] for r in rows][::-1])[::-1].tolist()
         lead = [-1] * len(rows)
         for i, a in enumerate(rows):
             if lead[i] >= 0:
                 continue
             lead[i], end = i, a[3]
             for j in range(i + 1, len(rows)):
+                if earliest[j] - end > most:
+                    break  # all that follow are too late as well
                 b = rows[j]
                 gap = b[2] - end
-                if lead[j] >= 0 or gap > (600 if car else 90):
+                if lead[j] >= 0 or gap > most:
                     continue
                 looks = None if vec[i] is None or vec[j] is None else float(vec[i] @ vec[j])
                 if looks is not None and looks < 0.62:
