@@ -241,3 +241,24 @@ def test_evidence(spark):
     j = spark.createDataFrame([(1, 1, "departure", 20.0, "a")], "vehicle_id long, person_id long, event string, event_ts double, camera string")
     assert [(r["step"], r["gap"]) for r in journey_steps(j, seen).orderBy("ts").collect()] == [("person", 15.0), ("vehicle", 30.0), ("person", None)]
     assert tuple(case_summary(seen, j.filter("false")).first()) == (1, 1, 1, 0)
+
+
+def test_concurrent(spark):
+    from sighthound.operators.stateful import absorb_concurrent
+
+    rng = random.Random(6)
+    rows = [("c", "person", i, a := rng.randrange(60), a + rng.randrange(25), x := float(rng.randrange(30)), 0.0, x + 20, 10.0) for i in range(80)]
+    want, taken = {}, set()
+    order = sorted(rows, key=lambda r: (r[3], r[2]))
+    for a in order:
+        if a[2] in taken:
+            continue
+        end = a[4]
+        want[a[2]] = a[2]
+        taken.add(a[2])
+        for b in order:
+            if b[2] not in taken and b[3] <= end and b[4] >= a[3] and iou(a[5:], b[5:]) >= 0.4:
+                want[b[2]], end = a[2], max(end, b[4])
+                taken.add(b[2])
+    t = spark.createDataFrame(rows, "camera string, entity_type string, key long, first_frame long, last_frame long, x1 double, y1 double, x2 double, y2 double")
+    assert {r["key"]: r["leader"] for r in absorb_concurrent(t, 0.4).collect()} == want and len(set(want.values())) < len(want)
