@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .api import Engine
+from .operators.durable import durable
+from .operators.evaluation import overall
+from .sources.truth import template
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--time-start", type=float)
     q.add_argument("--time-end", type=float)
     q.add_argument("--tracks", action="store_true")
+    c = sub.add_parser("create-template")
+    c.add_argument("--cameras", nargs="+", required=True)
+    c.add_argument("--output", default="ground_truth.json")
+    g = sub.add_parser("evaluate")
+    g.add_argument("--gt", required=True)
+    g.add_argument("--output", help="folder for the scores as JSON")
     return p
 
 
@@ -44,11 +55,20 @@ def run(spark: SparkSession, args: argparse.Namespace):
         return e.verify(args.path, args.manifest)
     if args.command == "track":
         return e.track(args.path, args.iou, args.max_gap, args.store)
+    if args.command == "evaluate":
+        scores = durable(e.evaluate(args.gt))
+        if args.output:
+            scores.coalesce(1).write.mode("overwrite").json(args.output)  # two rows
+        return overall(scores)
     return e.tracks(args.sha256, args.class_name) if args.tracks else e.query(args.sha256, args.class_name, args.min_conf, args.time_start, args.time_end)
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if args.command == "create-template":
+        Path(args.output).parent.mkdir(parents=True, exist_ok=True)
+        Path(args.output).write_text(template(args.cameras, datetime.datetime.now().strftime("%Y-%m-%d %H:%M")))
+        return
     spark = SparkSession.builder.appName("sighthound").getOrCreate()
     for line in run(spark, args).toJSON().toLocalIterator():
         sys.stdout.write(line + "\n")

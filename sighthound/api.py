@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import identities as I
+from .operators.evaluation import evaluation, system_tracks
 from .operators.stateful import iou_tracker
 from .sources.store import Store, read_manifest, verify, write_reports
 from .sources.tables import file_hashes, read_reports, report_detections, report_frames
+from .sources.truth import read_truth, template, truth_cameras
 
 
 def summarize(reports: DataFrame) -> DataFrame:
@@ -84,10 +89,27 @@ class Engine:
     def tracks(self, sha256: str, class_name: str | None = None) -> DataFrame:
         return self.store.query_tracks(sha256, class_name)
 
+    def identify(self, cameras: list[str] | None = None, limits: I.Limits = I.Limits()) -> DataFrame:
+        """``(entity_id, entity_type, root)`` of the stored entities of some cameras, or all; every two cameras are matched."""
+        e = self.store.table("entities")
+        e = I.durable(e.filter(F.col("camera").isin(cameras)) if cameras else e)
+        names = [r[0] for r in e.select("camera").distinct().orderBy("camera").collect()]  # one row per camera
+        matches = self.spark.createDataFrame([], "a bigint, b bigint, entity_type string, similarity double")
+        for a, b in itertools.combinations(names, 2):
+            matches = matches.unionByName(I.durable(I.match_cameras(e, a, b, limits)))
+        return I.identities(e, I.durable(matches), limits)
+
+    def evaluate(self, truth: str, least: float = 0.3) -> DataFrame:
+        """Scores of the stored entities against a file of true appearances, which may narrow the cameras."""
+        cameras = truth_cameras(self.spark, truth)
+        system = I.durable(system_tracks(self.store.table("entities"), self.store.table("history"), cameras))
+        members = self.identify(cameras).join(system.select("entity_id", "camera", "sys_id"), "entity_id")
+        return evaluation(read_truth(self.spark, truth), system.drop("entity_id"), members.select("entity_type", F.col("root").alias("identity"), "camera", "sys_id"), least)
+
     def reports(self) -> DataFrame:
         """Videos of the store with the numbers of their frames and detections."""
         n = self.store.table("frames").groupBy("sha256").agg(F.count("*").alias("frames"), F.sum("detections_count").alias("detections"))
         return self.store.table("videos").join(n, "sha256", "left").select("sha256", "source_path", "frames", "detections").orderBy("sha256")
 
 
-__all__ = ["Engine", "Store", "read_reports", "summarize", "summary_text", "track_reports", "write_reports"]
+__all__ = ["Engine", "Store", "read_reports", "read_truth", "summarize", "summary_text", "template", "track_reports", "write_reports"]

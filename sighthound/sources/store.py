@@ -113,10 +113,15 @@ class Store:
     def append_entities(self, entities: DataFrame) -> None:
         append(f"{self.path}/entities", "camera", entities)
 
+    def append_history(self, frames: DataFrame) -> None:
+        """Add frames ``(entity_id, camera, frame_idx, ...)`` in which entities were seen."""
+        append(f"{self.path}/history", "camera", frames)
+
     def delete_camera(self, camera: str) -> None:
-        """Delete a camera's entities, before it is processed again."""
-        if self.has("entities"):
-            replace(f"{self.path}/entities", "camera", None, self.spark.createDataFrame([(camera,)], "camera string"))
+        """Delete a camera's entities and their history, before it is processed again."""
+        for name in ("entities", "history"):
+            if self.has(name):
+                replace(f"{self.path}/{name}", "camera", None, self.spark.createDataFrame([(camera,)], "camera string"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
