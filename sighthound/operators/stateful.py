@@ -181,6 +181,18 @@ def spatial_leaders(d: DataFrame, group: list[str], id_col: str, radius: float)
     return rows.mapInArrow(run, schema)
 
 
+def reading_order(boxes: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Append ``place``: boxes of a group from top to bottom, then from left to right, equal corners by id; boxes without a corner come last."""
+    order = [F.col(c).asc_nulls_last() for c in ("y1", "x1", id_col)]
+    return boxes.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+
+
+def led_clusters(d: DataFrame, led: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """One row per leader of ``spatial_leaders``: its box and ``conf``, ``num_detections``, and its place in reading order."""
+    sizes = led.groupBy(*group, F.col("leader").alias(id_col)).agg(F.count("*").alias("num_detections"))
+    return reading_order(sizes.join(d.select(*group, id_col, "conf", "x1", "y1", "x2", "y2"), [*group, id_col]), group, id_col)
+
+
 def deduplicate_people(df: DataFrame, group: str, id_col: str, threshold: float = 0.47, least_area: float = 2500.0) -> DataFrame:
     """Leaders by falling box area: a person joins the first leader of like looks that isn't in the same or the next frame. Small boxes go unless a group has no others."""
     import numpy as np

@@ -10,7 +10,7 @@ from ..operators.evaluation import match_truth, reid_counts, tracking_scores
 from ..operators.evidence import archive_names, case_summary, journey_steps, manifest_totals
 from ..operators.graph import components
 from ..operators.joins import alike_boxes, similar_pairs
-from ..operators.stateful import merge_fragments, spatial_leaders
+from ..operators.stateful import led_clusters, merge_fragments, reading_order, spatial_leaders
 from ..operators.tracks import TRACKLETS_SQL as T
 from ..operators.tracks import tracklets
 from ..sources.tables import DETECTIONS_SQL as D
@@ -94,6 +94,17 @@ def spatial(spark, sf):
     return spatial_leaders(detections(spark, sf), ["camera", "frame_idx"], "event_id", 100.0)
 
 
+def cluster_list(spark, sf):
+    """Clusters of each camera and frame with their sizes, in reading order."""
+    d = detections(spark, sf)
+    return led_clusters(d, spatial(spark, sf), ["camera", "frame_idx"], "event_id").select("camera", "frame_idx", "event_id", "num_detections", "place")
+
+
+def places(spark, sf):
+    """Boxes of each camera and class in reading order."""
+    return reading_order(detections(spark, sf), ["camera", "class_name", "frame_idx"], "event_id").select("event_id", "place")
+
+
 def _truth(spark, sf):
     """Track extents as truth, and the same moved by an hour as what a system saw."""
     x = detections(spark, sf).groupBy("camera", "track_id").agg(F.min("frame_idx").alias("f0"), F.max("frame_idx").alias("f1"))
@@ -159,6 +170,8 @@ PLANS = {
     "linked_trips": linked_trips,
     "fragment_merge": fragments,
     "spatial_cluster": spatial,
+    "cluster_list": cluster_list,
+    "reading_order": (places, f"WITH {D} SELECT event_id, row_number() OVER (PARTITION BY camera, class_name, frame_idx ORDER BY y1, x1, event_id)::INTEGER AS place FROM d"),
     "gt_match": gt_match,
     "tracking_quality": tracking_quality,
     "reid_eval": reid_eval,

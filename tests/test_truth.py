@@ -1,9 +1,10 @@
-"""Files of true appearances, and the scores of stored entities against them."""
+"""Files of true appearances, the scores of stored entities against them, and lists of clusters."""
 
 import json
 
 from sighthound.__main__ import main, parser, run
 from sighthound.operators.evaluation import evaluation, overall, reid_counts
+from sighthound.operators.stateful import led_clusters, spatial_leaders
 from sighthound.sources.store import Store
 from sighthound.sources.truth import read_truth, template, truth_cameras
 
@@ -59,3 +60,10 @@ def test_stored_entities(spark, tmp_path):
     s.delete_camera("a")
     assert s.table("history").filter("camera = 'a'").count() == 0 and s.table("history").count() == 6
     assert overall(spark.read.json(str(tmp_path / "out"))).count() == 1
+
+
+def test_clusters_in_reading_order(spark):
+    boxes = [("a", 1, 0.9, 300.0, 50.0), ("a", 2, 0.5, 310.0, 55.0), ("a", 3, 0.8, 10.0, 50.0), ("a", 4, 0.7, 0.0, 0.0), ("b", 5, 0.1, 0.0, 0.0), ("b", 6, 0.2, None, 0.0)]
+    d = spark.createDataFrame([(c, i, p, x, y, None if x is None else x + 20, y + 10) for c, i, p, x, y in boxes], "camera string, event_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = led_clusters(d, spatial_leaders(d, ["camera"], "event_id", 50.0), ["camera"], "event_id").collect()
+    assert {(r["camera"], r["event_id"], r["num_detections"], r["place"]) for r in got} == {("a", 4, 1, 1), ("a", 3, 1, 2), ("a", 1, 2, 3), ("b", 5, 1, 1)}
