@@ -37,8 +37,8 @@ CUE = re.compile(r"licen[cs]e|copyright|redistribut|permission|public domain|cre
 WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
 #: Words of a line taken before its first and behind its last cue.
 AROUND = 80
-#: Templates confirmed at most for a block, best first; share of wording that may be missing or added.
-TRIED, MISSING, EXTRA = 4, 0.1, 0.25
+#: Share of wording that may be missing or added.
+MISSING, EXTRA = 0.1, 0.25
 
 
 class Scanner:
@@ -81,7 +81,7 @@ class Scanner:
         plain = len(self.plain.compress(content))
         ranked = sorted(((1 - len(c.compress(content)) / plain, i) for i, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
         best = None
-        for gain, i in ranked[:TRIED]:
+        for gain, i in ranked:  # all: a near miss may shrink a block more than the notice that it holds
             name, wording, _ = self.templates[i]
             same = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
             if not same:

@@ -164,6 +164,11 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs).filter("size(notices) > 0").count() == 0
 
 
+def test_license_ranked_low():
+    text = "Released under the MIT License. This work was once licensed under the GNU General Public License, any version, and under a Creative Commons Attribution International License."
+    assert [n[0] for n in licenses.scanner().scan(text)[1]] == ["MIT"]
+
+
 def test_pseudonyms(docs):
     give, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
     text = "a.b@mail.example.com 10.1.2.3 4539578763621486 9807915762804490 2024-02-29 31/12/1999 12/25/2001 +1 (017) 555-7713 078-05-1120 GB82WEST12345698765432"
