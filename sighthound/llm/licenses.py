@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,9 +33,9 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CUE = re.compile(r"licen[cs]e|copyright|redistribut|permission|public domain|creative commons|spdx", re.I)
+CUE = re.compile(r"licen[cs]e|copyright|redistribut|permission|public[\W_]+domain|creative[\W_]+commons|spdx", re.I)
 WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
-#: Words of a line taken before its first and behind its last cue.
+#: Words taken before and behind a cue, on whatever line; more than any template and what may be added to it.
 AROUND = 80
 #: Share of wording that may be missing or added.
 MISSING, EXTRA = 0.1, 0.25
@@ -54,60 +54,82 @@ class Scanner:
             self.templates.append((name, words, z.ZstdCompressor(level=19, dict_data=known, **options)))
 
     def blocks(self, text: str):
-        """Candidates: runs of lines with a cue, each line no further from its cues than ``AROUND`` words; (begin, end, words)."""
-        if not CUE.search(text):
+        """Candidates: ``AROUND`` words before and behind each cue, across line breaks, overlapping ranges as one; lists of (begin, end, word)."""
+        cues = [m.start() for m in CUE.finditer(text)]
+        if not cues:
             return
-        run: list = []
-        at = 0
-        for line in [*text.split("\n"), ""]:
-            cues = [m.start() for m in CUE.finditer(line)]
-            if cues:
-                words = list(WORD.finditer(line))
-                first = next((i for i, w in enumerate(words) if w.end() > cues[0]), 0)
-                last = max((i for i, w in enumerate(words) if w.start() <= cues[-1]), default=0)
-                kept = words[max(0, first - AROUND) : last + AROUND + 1]
-                run += [(at + w.start(), at + w.end(), w[0].lower()) for w in kept]
-            elif run:
-                yield run
-                run = []
-            at += len(line) + 1
-        if run:
-            yield run
-
-    def match(self, block: list[tuple[int, int, str]]):
-        """The confirmed template of a block: (license, begin, end, reduction, words missing, words added), or None."""
+        words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+        ends = [w[1] for w in words]
+        begin = end = 0
+        for cue in cues:
+            at = bisect_right(ends, cue)
+            if at - AROUND > end:
+                if end:
+                    yield words[begin:end]
+                begin = at - AROUND
+            end = min(at + AROUND + 1, len(words))
+        yield words[begin:end]
+
+    def fits(self, wording: list[str], words: list[str]):
+        """All places of ``words`` where a wording stands, within the shares that may be missing or added: (first, end, missing, extra).
+
+        From each word that may be the first, the least edits to each end: words of the wording left out (never a
+        number, so versions are all there) or words put in.
+        """
+        m, miss, more = len(wording), int(MISSING * len(wording)), int(EXTRA * len(wording))
+        known, firsts = set(wording), set(wording[: miss + 1])
+        far = m + more + 1
+        for at in [i for i, w in enumerate(words) if w in firsts]:
+            window = words[at : at + m + more]
+            if len(known.difference(window)) > miss:
+                continue
+            width = len(window)
+            row = list(range(width + 1))
+            for i, w in enumerate(wording, 1):
+                new = [far] * (width + 1)
+                skip = not w[0].isdigit()
+                if skip and i <= miss:
+                    new[0] = i
+                for j in range(max(1, i - miss), min(width, i + more) + 1):
+                    least = new[j - 1] + 1
+                    if skip and row[j] + 1 < least:
+                        least = row[j] + 1
+                    if w == window[j - 1] and row[j - 1] < least:
+                        least = row[j - 1]
+                    new[j] = least
+                row = new
+            for size, edits in enumerate(row):
+                missing, extra = (m - size + edits) // 2, (size - m + edits) // 2
+                if size and missing <= miss and extra <= more:
+                    yield at, at + size, missing, extra
+
+    def match(self, block: list[tuple[int, int, str]]) -> list[tuple]:
+        """The confirmed notices of a block: (license, begin, end, reduction, words missing, words added).
+
+        Of places that overlap the one with the fewest words missing or added counts, then the longer, then the
+        template under which the block shrinks more, then the first.
+        """
         words = [w for _, _, w in block]
         content = " ".join(words).encode()
         plain = len(self.plain.compress(content))
         ranked = sorted(((1 - len(c.compress(content)) / plain, i) for i, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
-        best = None
-        for gain, i in ranked:  # all: a near miss may shrink a block more than the notice that it holds
+        places = []
+        for rank, (gain, i) in enumerate(ranked):  # all: a near miss may shrink a block more than the notice that it holds
             name, wording, _ = self.templates[i]
-            same = [m for m in SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if m.size]
-            if not same:
-                continue
-            hit = {wording[j] for m in same for j in range(m.a, m.a + m.size)}
-            span = same[0].b, same[-1].b + same[-1].size
-            matched = sum(m.size for m in same)
-            missing, extra = len(wording) - matched, span[1] - span[0] - matched
-            versions = all(w in hit for w in wording if w[0].isdigit())
-            if versions and missing <= MISSING * len(wording) and extra <= EXTRA * len(wording):
-                found = (name, block[span[0]][0], block[span[1] - 1][1], gain, missing, extra)
-                if best is None or (missing + extra, -matched) < (best[4] + best[5], -best[6]):
-                    best = (*found, matched)
-        return best and best[:6]
+            places += [(missing + extra, missing - len(wording), rank, at, end, name, gain, missing, extra) for at, end, missing, extra in self.fits(wording, words)]
+        found, taken = [], bytearray(len(words))
+        for _, _, _, at, end, name, gain, missing, extra in sorted(places):
+            if not any(taken[at:end]):
+                taken[at:end] = b"\1" * (end - at)
+                found.append((name, block[at][0], block[end - 1][1], gain, missing, extra))
+        return found
 
     def scan(self, text: str) -> tuple[int, list[tuple]]:
-        """Candidate blocks and confirmed notices of a text. A block is searched again beside a notice that it holds."""
+        """Number of candidate blocks and confirmed notices of a text."""
         seen, found = 0, []
         for block in self.blocks(text):
             seen += 1
-            todo = [block]
-            while todo:
-                part = todo.pop()
-                if part and (hit := self.match(part)):
-                    found.append(hit)
-                    todo += [[w for w in part if w[1] <= hit[1]], [w for w in part if w[0] >= hit[2]]]
+            found += self.match(block)
         return seen, sorted(found, key=lambda x: x[1:])
 
 

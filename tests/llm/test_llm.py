@@ -169,6 +169,39 @@ def test_license_ranked_low():
     assert [n[0] for n in licenses.scanner().scan(text)[1]] == ["MIT"]
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "BSD-3-Clause": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:""",
+    "ISC": """ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Unlicense": """This is free and unencumbered software released into the public
+domain.""",
+}
+
+
+def test_wrapped_licenses():
+    scan = licenses.scanner().scan
+    for name, text in WRAPPED.items():
+        for around in ("", "the of this is released license, version 9 under no copyright to any person\n", "word " * 200 + "\n"):
+            seen, found = scan(around + text + "\n" + around)
+            assert seen >= 1 and [(n[0], n[4], n[5]) for n in found] == [(name, 0, 0)]
+            assert (around + text)[found[0][1] : found[0][2]] in text
+    assert [n[0] for n in scan("\n\n".join(WRAPPED.values()))[1]] == list(WRAPPED)
+    assert scan("license " + "word " * 161 + "license")[0] == 2 and scan("license " + "word " * 159 + "license")[0] == 1
+    near = WRAPPED["ISC"].replace("software ", "new software ").replace("above", "")
+    assert [(n[0], n[4], n[5]) for n in scan("this permission to use " * 9 + near)[1]] == [("ISC", 1, 1)]
+
+
 def test_pseudonyms(docs):
     give, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
     text = "a.b@mail.example.com 10.1.2.3 4539578763621486 9807915762804490 2024-02-29 31/12/1999 12/25/2001 +1 (017) 555-7713 078-05-1120 GB82WEST12345698765432"
