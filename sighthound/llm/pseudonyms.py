@@ -148,8 +148,16 @@ class Pseudonyms:
             out[i] = f"{n:02d}" if padded else str(n)
         return mark.join(out)
 
-    def ssn(self, v: str) -> str:
-        return self._spread(v, self._digits(v.replace("-", ""), "ssn"), re.compile(r"\d"))
+    def ssn(self, v: str) -> str | None:
+        """Numbers that can have been given out: area 001 to 899 without 666, group from 01, serial from 0001."""
+        area, group, serial = (int(x) for x in v.split("-"))
+        if area in (0, 666) or area > 899 or not group or not serial:
+            return None
+        x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+        x, serial = divmod(self._permute(x, 898 * 99 * 9999, "ssn"), 9999)
+        area, group = divmod(x, 99)
+        area += 1 + (area >= 665)
+        return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def card(self, v: str) -> str:
         """Numbers with a valid Luhn digit keep a valid one and the others an invalid one, so that both stay apart."""
@@ -176,7 +184,7 @@ class Pseudonyms:
         return new.upper() if v.isupper() else new
 
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
-        """The text with pseudonyms, and how many of each kind it got. Values that fail their validation stay."""
+        """The text with pseudonyms, and how many of each kind it got. Values that fail their validation stay; cards have none."""
         found: dict[str, int] = {}
 
         def one(m: re.Match) -> str:

@@ -215,6 +215,15 @@ def test_pseudonyms(docs):
     assert pseudonyms.pseudonymise(docs).filter("text is null").count() == 1
 
 
+def test_social_security_numbers():
+    give, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    for bad in ("000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"):
+        assert give.replace(bad) == (bad, {})
+    good = ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999", *(f"{a}-{a % 99 + 1:02d}-{a:04d}" for a in range(100, 600, 7))]
+    new = [give.replace(x)[0] for x in good]
+    assert len(set(new)) == len(good) and [back.replace(x)[0] for x in new] == good and all(give.ssn(x) for x in new)
+
+
 def brute(rows, k, percent):
     sets = {}
     for i, t in rows:
