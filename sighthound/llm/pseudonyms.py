@@ -24,6 +24,29 @@ ROUNDS = 8
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 KINDS = ("email", "ip", "iban", "date", "ssn", "card", "phone", "secret")
 
+#: Country codes of telephone numbers (ITU-T E.164).
+COUNTRY = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+#: What stands between groups of a telephone number; behind a blank no address, date or number of another kind may begin.
+GAP = r"[ \u00a0\u202f./-]"
+OTHER = r"(?:\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)|(?:19|20)\d\d[-/.]\d{1,2}[-/.]\d{1,2}(?!\w)|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d(?!\w)|\d{3}-\d{2}-\d{4}(?![\w-])|\d{4}(?:[ -]\d{4}){3}(?!\w)|\d{13,19}(?!\w))"
+#: With a country code: national numbers of known length, then any grouping; without: two to four, three and four digits,
+#: a trunk 0 with groups behind it, Spanish groups, and three and four digits.
+PHONE = "|".join(
+    (
+        rf"(?<![\w+])(?:\+|00 ?)3[34]{GAP}?(?:\(0\){GAP}?)?[1-9](?:{GAP}?\d){{8}}(?!\w)",
+        rf"(?<![\w+])(?:\+|00 ?)44{GAP}?(?:\(0\){GAP}?)?[1-9](?:{GAP}?\d){{9}}(?!\w)",
+        r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\w)",
+        rf"(?<![\w+])(?:\+|00 ?)(?=[1-9])\d(?:(?!{GAP}{OTHER})[ \u00a0\u202f./()-]{{0,3}}\d){{6,14}}(?!\w)",
+        rf"(?<![\w+.,/-])(?:\(0[1-9]\d{{0,3}}\)|0[1-9]\d{{0,3}})(?:[ \u00a0\u202f]?[/-][ \u00a0\u202f]?|[ \u00a0\u202f])\d\d(?:(?![ \u00a0\u202f]{OTHER})[ \u00a0\u202f-]?\d){{3,8}}(?![\w/-]|[.,]\d)",
+        r"(?<![\w+.,/-])0[1-9](?:\.\d\d){4}(?!\w|[.,]\d)",
+        r"(?<![\w+.,/-])(?:[6-9]\d\d[ \u00a0-]\d{3}[ \u00a0-]\d{3}|[6-9]\d\d(?:[ \u00a0-]\d\d){3}|9\d[ \u00a0-]\d{3}(?:[ \u00a0-]\d\d){2})(?![\w/-]|[.,]\d|[ \u00a0]\d{3}\b)",
+        r"(?<![\w+.,/-])[2-9]\d\d-\d{4}(?![\w/-]|[.,]\d)",
+    )
+)
+PHONE_ALONE = re.compile(PHONE)
+#: What stays of a telephone number: country code, or trunk 0.
+PHONE_HEAD = re.compile(rf"(?:\+|00 ?){COUNTRY}{GAP}?(?:\(0\){GAP}?)?(?=[(\d])|\(?0(?=[1-9])|")
+
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w))"
@@ -31,7 +54,7 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w./-])(?:(?:19|20)\d\d(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)(?:19|20)\d\d)(?![\w/-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\w))"
+    rf"|(?P<phone>{PHONE})"
     r"|(?P<secret>(?<!\w)(?=[0-9a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,64}(?!\w))"
 )
 
@@ -172,12 +195,17 @@ class Pseudonyms:
         return self._spread(v, body + str((int(luhn_digit(body)) + shift) % 10), re.compile(r"\d"))
 
     def phone(self, v: str) -> str | None:
-        if v.isdigit():
+        """Seven to fifteen digits with a mark or blank among them; the pseudonym has the same head and is read as a phone number again."""
+        if v.isdigit() or not 7 <= sum(c.isdigit() for c in v) <= 15:
             return None  # a plain number
-        code = re.match(r"\+\d{1,3}[ .-]?(?=[(\d])", v)
-        head = code[0] if code else ""
+        head = PHONE_HEAD.match(v)[0]
         digits = re.sub(r"\D", "", v[len(head) :])
-        return head + self._spread(v[len(head) :], self._digits(digits, "phone"), re.compile(r"\d"))
+        whole = PHONE_ALONE.fullmatch(v) is not None
+        while True:
+            digits = self._digits(digits, "phone")
+            new = head + self._spread(v[len(head) :], digits, re.compile(r"\d"))
+            if PHONE_HEAD.match(new)[0] == head and (PHONE_ALONE.fullmatch(new) is not None) == whole:
+                return new
 
     def secret(self, v: str) -> str:
         new = f"{self._permute(int(v, 16), 16 ** len(v), f'secret{len(v)}'):0{len(v)}x}"
@@ -206,7 +234,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
     """Replace ``text`` and append ``pii_found``, a map from kind to count. A null text stays null, with an empty map.
 
     Formats: e-mail addresses (top-level label kept), IPv4, IBAN (check digits made anew), dates of 1900 to 2099, social
-    security numbers, card-like numbers of 13 to 19 digits, phone numbers (country code kept), hexadecimal secrets.
+    security numbers, card-like numbers of 13 to 19 digits, phone numbers (country code or
+    trunk 0 kept; after + or 00 any grouping, else the groupings of ``PHONE``), hexadecimal secrets.
     """
 
     def run(batches):

@@ -224,6 +224,24 @@ def test_social_security_numbers():
     assert len(set(new)) == len(good) and [back.replace(x)[0] for x in new] == good and all(give.ssn(x) for x in new)
 
 
+def test_phone_groupings():
+    give, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    heads = {
+        "+44 20 7946 0958": "+44 ", "+44 (0)20 7946 0958": "+44 (0)", "+33 1 23 45 67 89": "+33 ", "+49 30 12345678": "+49 ", "+34 612 345 678": "+34 ", "+33123456789": "+33",
+        "0033 1 23 45 67 89": "0033 ", "0049 30 12345678": "0049 ", "+351 21 123 4567": "+351 ", "+1 (017) 555-7713": "+1 ", "01 23 45 67 89": "0", "06.12.34.56.78": "0", "020 7946 0958": "0",
+        "07700 900123": "0", "030/1234567": "0", "(030) 123 45 67": "(0", "612 345 678": "", "612 34 56 78": "", "91 123 45 67": "", "555-0142": "", "+33\u00a01\u00a023\u00a045\u00a067\u00a089": "+33\u00a0",
+    }
+    for v, head in heads.items():
+        for text in (v, f"Tel. {v}.", f"({v}), call", f"{v} 2024-02-29 10.1.2.3"):
+            new, found = give.replace(text)
+            assert found.get("phone") == 1 and v not in new and head in new and len(new.split(" 20")[0]) >= len(v), (text, new)
+            assert back.replace(new)[0] == text and re.sub(r"\d", "9", new)[: len(v)] == re.sub(r"\d", "9", text)[: len(v)]
+    mixed = "+33 1 23 45 67 89 10.1.2.3 +49 30 12345678 2024-02-29 078-05-1120"
+    assert give.replace(mixed)[1] == {"phone": 2, "ip": 1, "date": 1, "ssn": 1}
+    for plain in ("1 234 567", "12.345.678", "3.14159265", "612.345.678", "+12 34", "in 2019-2020", "10:30", "01/12/99", "20000", "0612345678", "1 612 345 678 901"):
+        assert give.replace(plain)[0] == plain, plain
+
+
 def brute(rows, k, percent):
     sets = {}
     for i, t in rows:
