@@ -1,8 +1,8 @@
 """Homomorphic multiset fingerprints of documents (DataFrame functions only).
 
 A fingerprint is an array of longs: the number of paragraphs; four lanes that add 62-bit hashes of the paragraphs modulo
-2^62, for equality; and fifteen longs that pack four lanes each, which add one bit of a paragraph's hash modulo 2^14, for
-likeness. Adding is commutative and can be undone, so paragraphs may come in any order and be inserted or deleted later.
+2^62, for equality; and thirty longs that pack two lanes each, which add one bit of a paragraph's hash modulo 2^30, for
+likeness: more than the paragraphs that a text of less than 2^31 bytes can have. Adding is commutative and can be undone, so paragraphs may come in any order and be inserted or deleted later.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from ._common import documents
 
 #: A paragraph here: a line, cut further after a sentence's end.
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
-STRONG, PACKED, LANE_BITS = 4, 15, 14
+STRONG, PACKED, LANE_BITS = 4, 30, 30
 MASK = (1 << 62) - 1
-#: One bit, all bits and the carry of each of the four packed lanes, which stand 15 bits apart.
-ONES = sum(1 << 15 * k for k in range(4))
+#: One bit, all bits and the carry of each of the two packed lanes, which stand 31 bits apart.
+ONES = 1 + (1 << LANE_BITS + 1)
 LANES = ONES * ((1 << LANE_BITS) - 1)
 CARRY = ONES << LANE_BITS
 
@@ -31,7 +31,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the fingerprint of ``text`` as ``out``; a null or empty text has no paragraphs and the fingerprint of zeros."""
     units, bits = f"__{out}_units", f"__{out}_bits"
     df = df.withColumn(units, paragraphs(F.col(text)))
-    df = df.withColumn(bits, F.transform(units, lambda x: F.xxhash64(F.lit(STRONG), x)))
+    low = (1 << PACKED) - 1  # bits 0 to 29 of the hash go to the first lanes, 30 to 59 one place up to the second
+    df = df.withColumn(bits, F.expr(f"transform(transform({units}, x -> xxhash64({STRONG}, x)), h -> (h & {low}L) | shiftleft(h & {low << PACKED}L, 1))"))
     strong = [f"aggregate({units}, 0L, (a, x) -> (a + (xxhash64({i}, x) & {MASK}L)) & {MASK}L)" for i in range(STRONG)]
     packed = [f"aggregate({bits}, 0L, (a, h) -> (a + (shiftrightunsigned(h, {j}) & {ONES}L)) & {LANES}L)" for j in range(PACKED)]
     return df.withColumn(out, F.expr(f"array(cast(size({units}) as bigint), {', '.join(strong + packed)})")).drop(units, bits)
@@ -54,7 +55,7 @@ def as_text(fp: str) -> Column:
 def likeness(a: str, b: str) -> Column:
     """How alike two fingerprints are, 0 to 1: twice the inner product over the squares' sum, of the lanes as signed sums.
 
-    A packed lane holds how many paragraphs have a bit set, modulo 2^14; with the number of paragraphs it gives a sum of
+    A packed lane holds how many paragraphs have a bit set, modulo 2^30; with the number of paragraphs it gives a sum of
     signs, whose products estimate how many paragraphs two texts share. Equal fingerprints give exactly 1.
     """
     size = 1 << LANE_BITS
@@ -62,8 +63,8 @@ def likeness(a: str, b: str) -> Column:
     def signed(x: str, n: str) -> str:
         return f"cast(2 * ({x} + {size}L * cast(round(({n} / 2.0D - {x}) / {size}.0D) as bigint)) - {n} as double)"
 
-    lanes = f"sequence(0, {4 * PACKED - 1})"
-    get = lambda v: f"shiftrightunsigned({v}[{STRONG + 1} + cast(i div 4 as int)], 15 * cast(i % 4 as int)) & {size - 1}L"
+    lanes = f"sequence(0, {2 * PACKED - 1})"
+    get = lambda v: f"shiftrightunsigned({v}[{STRONG + 1} + cast(i div 2 as int)], {LANE_BITS + 1} * cast(i % 2 as int)) & {size - 1}L"
     pairs = f"transform(transform({lanes}, i -> struct({get(a)} as p, {get(b)} as q)), z -> struct({signed('z.p', a + '[0]')} as x, {signed('z.q', b + '[0]')} as y))"
     sums = f"aggregate({pairs}, struct(0.0D as d, 0.0D as n), (s, z) -> struct(s.d + z.x * z.y as d, s.n + z.x * z.x + z.y * z.y as n), s -> 2 * s.d / nullif(s.n, 0.0D))"
     return F.expr(f"case when {a} = {b} then 1.0D else coalesce(greatest(0.0D, least(1.0D, {sums})), 0.0D) end")

@@ -129,6 +129,16 @@ def test_multiset(spark, docs, empty):
     assert multiset_hash.with_next(empty.select("doc_id", "text"), ["text"]).count() == 0
 
 
+def test_multiset_of_repeated_lines(spark):
+    other = "".join(f"line {i}\n" for i in range(300))
+    pairs = [("same\n" * 20_000, "same\n" * 10_000 + other), ("same\n" * 16_384, "same\n" * 8_192), ("".join(f"s{i}\n" for i in range(10)) * 6_000, "".join(f"s{i}\n" for i in range(10)) * 3_000)]
+    df = spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string, c string")
+    for c in "abc":
+        df = multiset_hash.with_fingerprint(df, c, f"f_{c}")
+    rows = df.select(multiset_hash.likeness("f_a", "f_b").alias("near"), (multiset_hash.add("f_a", "f_b") == F.col("f_c")).alias("sum"), (multiset_hash.subtract("f_c", "f_b") == F.col("f_a")).alias("rest")).collect()
+    assert all(abs(r["near"] - 0.8) < 0.02 and r["sum"] and r["rest"] for r in rows), rows
+
+
 def test_preferences(spark):
     turn = "array<struct<role:string,text:string>>"
     a, b = [("user", "q"), ("assistant", "x")], [("user", "q"), ("assistant", "yy")]
