@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import make_room, quoted
+
+OUT = ("prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
 END = "\n<|end|>\n"
 
 
@@ -27,44 +30,49 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     The prompt is the longest prefix of turns that both share, rendered once; the completions are what follows, each
     with the run lengths of its loss mask. Adds ``prompt_turns, prompt, chosen_text, chosen_mask, rejected_text,
-    rejected_mask``. A null array counts as no turns, null roles as ``unknown``, null texts as empty; equal
-    conversations have empty completions, and conversations that differ in the first turn an empty prompt.
+    rejected_mask``; columns of the input with these names get ``input_`` before theirs. A null array counts as no turns,
+    a null turn as one of nulls, null roles as ``unknown``, null texts as empty; equal conversations have empty completions,
+    and conversations that differ in the first turn an empty prompt. Repeated pairs come out as often as they go in, an
+    empty table gives no rows. A conversation is one value, so its length is bounded by what a row can hold.
     """
-    clean = lambda c: f"transform(coalesce({c}, array()), t -> struct(coalesce(t.role, 'unknown') as role, coalesce(t.text, '') as text))"
-    df = pairs.withColumn("__a", F.expr(clean(chosen))).withColumn("__b", F.expr(clean(rejected)))
-    same = "zip_with(slice(__a, 1, __n), slice(__b, 1, __n), (x, y) -> x = y)"
-    df = df.withColumn("__n", F.expr("cast(least(size(__a), size(__b)) as int)"))
-    df = df.withColumn("prompt_turns", F.expr(f"cast(coalesce(nullif(array_position({same}, false), 0) - 1, __n) as int)"))
-    df = df.withColumn("__p", F.expr("slice(__a, 1, prompt_turns)"))
-    for out, turns in (("__c", "__a"), ("__r", "__b")):
-        df = df.withColumn(out, F.expr(f"slice({turns}, prompt_turns + 1, size({turns}))"))
-    df = df.withColumn("prompt", _render("__p"))
-    for out, turns in (("chosen", "__c"), ("rejected", "__r")):
-        df = df.withColumn(f"{out}_text", _render(turns)).withColumn(f"{out}_mask", _mask(turns))
-    return df.drop("__a", "__b", "__n", "__p", "__c", "__r")
-
-
-def reply_swaps(conversations: DataFrame) -> DataFrame:
+    pairs, names = make_room(pairs, OUT)
+    others = list(pairs.columns)
+    clean = lambda c: f"transform(coalesce({quoted(names[c])}, array()), t -> struct(coalesce(t.role, 'unknown') as role, coalesce(t.text, '') as text))"
+    df = pairs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.expr(clean(chosen)).alias("a"), F.expr(clean(rejected)).alias("b"))
+    same = "zip_with(slice(a, 1, n), slice(b, 1, n), (x, y) -> x = y)"
+    df = df.withColumn("n", F.expr("cast(least(size(a), size(b)) as int)"))
+    df = df.withColumn("prompt_turns", F.expr(f"cast(coalesce(nullif(array_position({same}, false), 0) - 1, n) as int)"))
+    rest = lambda c: F.expr(f"slice({c}, prompt_turns + 1, size({c}))")
+    df = df.select("row", "prompt_turns", F.expr("slice(a, 1, prompt_turns)").alias("p"), rest("a").alias("c"), rest("b").alias("r"))
+    new = [_render("p").alias("prompt"), _render("c").alias("chosen_text"), _mask("c").alias("chosen_mask"), _render("r").alias("rejected_text"), _mask("r").alias("rejected_mask")]
+    return df.select(*[F.col("row")[c].alias(c) for c in others], "prompt_turns", *new)
+
+
+def forks(conversations: DataFrame) -> DataFrame:
     """Pairs from a table of plain conversations (conv_id, turn, role, text).
 
-    Chosen is a conversation up to its last assistant turn; rejected has that turn's text from the sibling conversation
-    (conv_id with its lowest bit flipped) instead, or lacks the turn where the sibling has no assistant turn. Conversations
-    without an assistant turn give no pair; rows without conv_id belong to no conversation. Turns of one number are
-    ordered by role and text, with null roles as ``unknown`` and null texts as empty.
+    Chosen is a conversation up to its last assistant turn. Rejected forks from it: it keeps the first ``conv_id mod turns``
+    turns, so pairs part at any depth, and goes on as its sibling does from there (conv_id with its lowest bit flipped, up
+    to its own last assistant turn). Where the sibling has the same turns, or none, they share more or rejected is shorter.
+
+    Conversations without an assistant turn give no pair; rows without conv_id belong to no conversation. Turns of one
+    number are ordered by role and text, with null turns first, null roles as ``unknown`` and null texts as empty; repeated
+    rows are repeated turns. One exchange brings the turns of two siblings together.
     """
-    turn = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    convs = convs.withColumn("last", F.expr("aggregate(transform(turns, (t, i) -> if(t.role = 'assistant', i + 1, 0)), 0, (a, x) -> greatest(a, x))")).filter("last > 0")
-    convs = convs.select("conv_id", F.expr("transform(slice(turns, 1, last), t -> struct(t.role as role, t.text as text))").alias("chosen"))
-    replies = conversations.filter("conv_id is not null and role = 'assistant'").groupBy("conv_id").agg(F.max(turn).alias("m"))
-    replies = replies.select(F.expr("conv_id ^ 1L").alias("conv_id"), F.col("m.text").alias("reply"))
-    tail = "if(reply is null, array(), array(struct('assistant' as role, reply as text)))"
-    return convs.join(replies, "conv_id", "left").withColumn("rejected", F.expr(f"concat(slice(chosen, 1, size(chosen) - 1), {tail})")).drop("reply")
+    turn = F.struct(F.col("conv_id").cast("long").alias("id"), F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = conversations.filter("conv_id is not null").groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    last = "aggregate(transform({0}, (t, i) -> if(t.role = 'assistant', i + 1, 0)), 0, (a, x) -> greatest(a, x))"
+    own = lambda k: f"transform(filter(turns, t -> t.id = 2 * pair + {k}), t -> struct(t.role as role, t.text as text))"
+    both = both.select("pair", F.expr(own(0)).alias("a"), F.expr(own(1)).alias("b"))
+    both = both.select("pair", *[F.expr(f"slice({c}, 1, {last.format(c)})").alias(c) for c in "ab"])
+    sides = both.select(F.inline(F.expr("array(struct(2 * pair as conv_id, a as chosen, b as other), struct(2 * pair + 1 as conv_id, b as chosen, a as other))"))).filter("size(chosen) > 0")
+    depth = "cast(pmod(conv_id, size(chosen)) as int)"
+    return sides.select("conv_id", "chosen", F.expr(f"concat(slice(chosen, 1, {depth}), slice(other, {depth} + 1, size(other)))").alias("rejected"))
 
 
 def op4_preference_format(spark, sf_dir: str) -> DataFrame:
     """Preference pairs of all conversations: prompt rendered once, completions with masks."""
-    df = format_preferences(reply_swaps(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    df = format_preferences(forks(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return df.select("conv_id", "prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
 
 
@@ -72,13 +80,18 @@ OP4_SQL = r"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t),
  l AS (SELECT conv_id, max(n) AS last FROM r WHERE role = 'assistant' GROUP BY conv_id),
- s AS (SELECT r.conv_id, r.text AS reply FROM r JOIN l ON r.conv_id = l.conv_id AND n = last),
- p AS (SELECT r.conv_id, n, last, role, r.text, s.reply FROM r JOIN l USING (conv_id) LEFT JOIN s ON s.conv_id = xor(r.conv_id, 1::BIGINT) WHERE n <= last),
- q AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, chr(10) || '<|end|>' || chr(10) AS tail, n < last OR (reply IS NOT NULL AND text = reply) AS shared FROM p)
-SELECT conv_id, count(*) FILTER (shared)::INTEGER AS prompt_turns, coalesce(string_agg(head || text || tail, '' ORDER BY n) FILTER (shared), '') AS prompt,
- coalesce(string_agg(head || text || tail, '' ORDER BY n) FILTER (NOT shared), '') AS chosen_text,
- coalesce(string_agg('0:' || length(head) || ',1:' || (length(text) + length(tail)), ',' ORDER BY n) FILTER (NOT shared), '') AS chosen_mask,
- coalesce(string_agg(head || reply || tail, '' ORDER BY n) FILTER (NOT shared AND reply IS NOT NULL), '') AS rejected_text,
- coalesce(string_agg('0:' || length(head) || ',1:' || (length(reply) + length(tail)), ',' ORDER BY n) FILTER (NOT shared AND reply IS NOT NULL), '') AS rejected_mask
-FROM q GROUP BY conv_id
+ c AS (SELECT r.conv_id, n, role, text, last, ((r.conv_id % last) + last) % last AS depth FROM r JOIN l USING (conv_id) WHERE n <= last),
+ x AS (SELECT conv_id, n, role, text FROM c WHERE n <= depth UNION ALL
+       SELECT m.conv_id, c.n, c.role, c.text FROM c JOIN (SELECT DISTINCT conv_id, depth FROM c) AS m ON c.conv_id = xor(m.conv_id, 1::BIGINT) AND c.n > m.depth),
+ p AS (SELECT coalesce(c.conv_id, x.conv_id) AS conv_id, coalesce(c.n, x.n) AS n, c.role AS c_role, c.text AS c_text, x.role AS x_role, x.text AS x_text,
+       coalesce(c.role = x.role AND c.text = x.text, false) AS same FROM c FULL JOIN x ON c.conv_id = x.conv_id AND c.n = x.n),
+ q AS (SELECT *, coalesce(min(n) FILTER (NOT same) OVER (PARTITION BY conv_id) - 1, count(*) OVER (PARTITION BY conv_id)) AS shared FROM p),
+ z AS (SELECT conv_id, n, shared, '<|' || c_role || '|>' || chr(10) AS c_head, c_text || chr(10) || '<|end|>' || chr(10) AS c_body, c_role,
+       '<|' || x_role || '|>' || chr(10) AS x_head, x_text || chr(10) || '<|end|>' || chr(10) AS x_body, x_role FROM q)
+SELECT conv_id, max(shared)::INTEGER AS prompt_turns, coalesce(string_agg(c_head || c_body, '' ORDER BY n) FILTER (n <= shared), '') AS prompt,
+ coalesce(string_agg(c_head || c_body, '' ORDER BY n) FILTER (n > shared AND c_role IS NOT NULL), '') AS chosen_text,
+ coalesce(string_agg(CASE WHEN c_role = 'assistant' THEN '0:' || length(c_head) || ',1:' || length(c_body) ELSE '0:' || (length(c_head) + length(c_body)) END, ',' ORDER BY n) FILTER (n > shared AND c_role IS NOT NULL), '') AS chosen_mask,
+ coalesce(string_agg(x_head || x_body, '' ORDER BY n) FILTER (n > shared AND x_role IS NOT NULL), '') AS rejected_text,
+ coalesce(string_agg(CASE WHEN x_role = 'assistant' THEN '0:' || length(x_head) || ',1:' || length(x_body) ELSE '0:' || (length(x_head) + length(x_body)) END, ',' ORDER BY n) FILTER (n > shared AND x_role IS NOT NULL), '') AS rejected_mask
+FROM z GROUP BY conv_id
 """
