@@ -7,6 +7,7 @@ ways to cut it into pieces, which a forward pass over its lattice adds up; a tex
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 from itertools import chain
 
@@ -16,12 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, schema_of, small_batches, tokenizer_path
+from ._common import documents, make_room, schema_of, small_batches, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-WORDS = re.compile(r"[^\W\d_]+")
+#: Characters that regular expressions take as part of words but that are no letters (category L): fractions, superscripts, Roman numerals.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A run of letters.
+WORDS = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
 #: Bounds of the training sample for each language: documents expected (by a threshold on a hash of doc_id) and words kept.
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_LETTERS = 1000, 30_000, 24
+TRAIN_DOCS, TRAIN_WORDS = 1000, 30_000
+#: Letters of a word from which on training sums logarithms: products of as many probabilities could underflow.
+LONG = 24
 ROUNDS, SMOOTH, FLOOR, UNKNOWN = 3, 0.02, 1e-8, 1e-9
 #: Words whose lattices go through a round together: bounds the memory of training.
 BLOCK = 5000
@@ -39,7 +45,7 @@ def automaton(path: str):
     n = 0
     for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and re.fullmatch(r"▁?[^\W\d_]*", piece) and piece == piece.lower() and len(piece) < 32:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (not (x := piece.removeprefix("▁")) or x.isalpha()) and piece == piece.lower() and len(piece) < 32:
             found.add_word(piece, n * 32 + len(piece))
             n += 1
     found.make_automaton()
@@ -108,20 +114,38 @@ class Lattice:
             np.add.at(beta, self.start[cut], beta[self.end[cut]] * p[self.piece[cut]])
         return beta
 
+    def shares(self, p: np.ndarray, logs: bool) -> np.ndarray:
+        """How often each edge is used, by language, in expectation over all segmentations of its word; with ``logs`` sums of logarithms."""
+        at = self.word[self.end - 1]
+        if not logs:
+            total, alpha = self.forward(p, keep=True)
+            return alpha[self.start] * p[self.piece] * self.backward(p)[self.end] / np.maximum(total, 1e-300)[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = np.log(p)
+            alpha, beta = (np.full((self.nodes, p.shape[1]), -np.inf) for _ in range(2))
+            alpha[self.first], beta[self.last] = 0, 0
+            for depth in range(1, len(self.steps)):
+                cut = slice(self.steps[depth - 1], self.steps[depth])
+                np.logaddexp.at(alpha, self.end[cut], alpha[self.start[cut]] + q[self.piece[cut]])
+            for depth in range(len(self.steps) - 1, 0, -1):
+                cut = slice(self.steps[depth - 1], self.steps[depth])
+                np.logaddexp.at(beta, self.start[cut], beta[self.end[cut]] + q[self.piece[cut]])
+            return np.nan_to_num(np.exp(alpha[self.start] + q[self.piece] + beta[self.end] - alpha[self.last][at]), posinf=0.0)
+
 
 def expectation_maximisation(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by language from word counts (words by languages), each round with expected counts over all segmentations."""
     pieces, unknown = automaton(path)[1] + 1, automaton(path)[1]
-    blocks = [(Lattice(words[i : i + BLOCK], path), counts[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
-    uses = sum(np.bincount(lattice.piece, minlength=pieces) for lattice, _ in blocks).astype(float)
+    order = sorted(range(len(words)), key=lambda i: (len(words[i]) > LONG, i))
+    short = sum(len(w) <= LONG for w in words)
+    bounds = sorted({*range(0, short, BLOCK), *range(short, len(words), BLOCK), len(words)})
+    blocks = [(Lattice([words[i] for i in order[a:b]], path), counts[order[a:b]], a >= short) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    uses = sum(np.bincount(lattice.piece, minlength=pieces) for lattice, _, _ in blocks).astype(float)
     p = np.repeat((uses / uses.sum())[:, None], counts.shape[1], axis=1)
     for _ in range(rounds):
         want = np.zeros_like(p)
-        for lattice, n in blocks:
-            total, alpha = lattice.forward(p, keep=True)
-            beta = lattice.backward(p)
-            weight = (n / np.maximum(total, 1e-300))[lattice.word[lattice.end - 1]]
-            used = alpha[lattice.start] * p[lattice.piece] * beta[lattice.end] * weight
+        for lattice, n, logs in blocks:
+            used = lattice.shares(p, logs) * n[lattice.word[lattice.end - 1]]
             for k in range(p.shape[1]):
                 want[:, k] += np.bincount(lattice.piece, used[:, k], pieces)
         want[unknown] = 0
@@ -141,7 +165,9 @@ def train(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int
     """Learn from text and lang of rows that aren't held out: languages in code point order and piece probabilities.
 
     The sample is bounded: per language about ``docs_per_language`` documents, those whose hashed id falls below a
-    threshold, and of their words of at most 24 letters the ``words_per_language`` most frequent.
+    threshold, and of their words, of any length, the ``words_per_language`` most frequent, of equals the first in code point
+    order. Rows without an id count by the hash of null. One task fits the model, which has a number for each piece and language.
+    No labelled rows give a model without languages.
     """
     path = vocabulary or tokenizer_path(VOCABULARY)
     docs = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
@@ -158,7 +184,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int
         for batch in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(w for w in WORDS.findall(text.lower()) if len(w) <= TRAIN_LETTERS)
+                seen.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
             rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -212,14 +238,19 @@ class Scorer:
 def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score`` to the rows of ``docs``, by the column ``text`` alone.
 
-    ``score`` is the share of the best language, at equal priors. A null text, one without a letter, or a model without
-    languages gives ``und`` and 0. Ties go to the first language in code point order.
+    ``score`` is the share of the best language, at equal priors. A null text, one without a letter (Unicode category L),
+    or a model without languages gives ``und`` and 0. Ties go to the first language in code point order. Columns of the
+    input with the names of the results get ``input_`` before theirs. Rows keep to themselves, so repeated rows get equal
+    results; an empty table gives no rows. Texts of any length are read whole.
     """
     langs, p, path = model
+    docs, names = make_room(docs, ("lang_pred", "score"))
+    text = names[text]
     schema = schema_of(docs).add("lang_pred", "string").add("score", "double")
+    shared = docs.sparkSession.sparkContext.broadcast(p)  # pieces of the fixed vocabulary by languages
 
     def run(batches):
-        score = Scorer(p, path)
+        score = Scorer(shared.value, path)
         for batch in batches:
             texts = batch[text].to_pylist()
             logs, n = score(texts) if langs else (None, np.zeros(len(texts), np.int64))

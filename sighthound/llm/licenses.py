@@ -10,13 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, schema_of, small_batches
+from ._common import documents, make_room, schema_of, small_batches
 
-#: Public wordings of license notices.
+#: Public wordings of license notices; numbers of clauses, which differ, are left out.
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: ``BSD`` is the opening that two and three clauses share, where the clauses themselves don't follow.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", f"{BSD} {BSD_THIRD}"),
+    ("BSD-3-Clause", BSD_THIRD),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -35,8 +45,6 @@ TEMPLATES = (
 )
 CUE = re.compile(r"licen[cs]e|copyright|redistribut|permission|public[\W_]+domain|creative[\W_]+commons|spdx", re.I)
 WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
-#: Words taken before and behind a cue, on whatever line; more than any template and what may be added to it.
-AROUND = 80
 #: Share of wording that may be missing or added.
 MISSING, EXTRA = 0.1, 0.25
 
@@ -45,6 +53,11 @@ class Scanner:
     def __init__(self, templates=TEMPLATES):
         import zstandard as z
 
+        sizes = [len(WORD.findall(wording)) for _, wording in templates]
+        #: Words taken before and behind a cue, on whatever line: the longest template and what may be added to it.
+        self.around = max(n + int(EXTRA * n) for n in sizes)
+        if not all(CUE.search(wording) for _, wording in templates):
+            raise ValueError("a template without a cue could not be found")
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = z.ZstdCompressor(level=19, **options)
         self.templates = []
@@ -54,7 +67,7 @@ class Scanner:
             self.templates.append((name, words, z.ZstdCompressor(level=19, dict_data=known, **options)))
 
     def blocks(self, text: str):
-        """Candidates: ``AROUND`` words before and behind each cue, across line breaks, overlapping ranges as one; lists of (begin, end, word)."""
+        """Candidates: ``around`` words before and behind each cue, across line breaks, overlapping ranges as one; lists of (begin, end, word)."""
         cues = [m.start() for m in CUE.finditer(text)]
         if not cues:
             return
@@ -63,11 +76,11 @@ class Scanner:
         begin = end = 0
         for cue in cues:
             at = bisect_right(ends, cue)
-            if at - AROUND > end:
+            if at - self.around > end:
                 if end:
                     yield words[begin:end]
-                begin = at - AROUND
-            end = min(at + AROUND + 1, len(words))
+                begin = at - self.around
+            end = min(at + self.around + 1, len(words))
         yield words[begin:end]
 
     def fits(self, wording: list[str], words: list[str]):
@@ -106,7 +119,8 @@ class Scanner:
     def match(self, block: list[tuple[int, int, str]]) -> list[tuple]:
         """The confirmed notices of a block: (license, begin, end, reduction, words missing, words added).
 
-        Of places that overlap the one with the fewest words missing or added counts, then the longer, then the
+        Of places that overlap the one counts that has the most words of its template less those missing or added, so that a
+        notice goes before the part of it that another one shares; then the one with fewer missing or added, then the
         template under which the block shrinks more, then the first.
         """
         words = [w for _, _, w in block]
@@ -116,7 +130,7 @@ class Scanner:
         places = []
         for rank, (gain, i) in enumerate(ranked):  # all: a near miss may shrink a block more than the notice that it holds
             name, wording, _ = self.templates[i]
-            places += [(missing + extra, missing - len(wording), rank, at, end, name, gain, missing, extra) for at, end, missing, extra in self.fits(wording, words)]
+            places += [(2 * missing + extra - len(wording), missing + extra, rank, at, end, name, gain, missing, extra) for at, end, missing, extra in self.fits(wording, words)]
         found, taken = [], bytearray(len(words))
         for _, _, _, at, end, name, gain, missing, extra in sorted(places):
             if not any(taken[at:end]):
@@ -142,7 +156,14 @@ NOTICE = "struct<license:string,begin:bigint,end:bigint,reduction:double,missing
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append ``license_blocks`` (candidates) and ``notices`` (confirmed, with code point offsets). Null and empty texts have none."""
+    """Append ``license_blocks`` (candidates) and ``notices`` (confirmed, with code point offsets). Null and empty texts have none.
+
+    Texts and lines of any length are read whole. Columns of the input with the names of the results get ``input_`` before
+    theirs. Rows keep to themselves, so repeated rows get equal results; an empty table gives no rows. See ``Scanner.match``
+    for ties between templates.
+    """
+    docs, names = make_room(docs, ("license_blocks", "notices"))
+    text = names[text]
     fields = [("license", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("missing", pa.int64()), ("extra", pa.int64())]
 
     def run(batches):

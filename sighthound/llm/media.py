@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, schema_of, small_batches, utf8
+from ._common import documents, make_room, schema_of, small_batches, utf8
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -122,7 +122,13 @@ def cosine_hash(samples: np.ndarray) -> str:
 
 
 def to_png(df: DataFrame, content: str = "content", out: str = "media") -> DataFrame:
-    """Append a PNG of the binary column ``content``, padded with zero bytes to a positive multiple of 64; null counts as empty."""
+    """Append a PNG of the binary column ``content``, padded with zero bytes to a positive multiple of 64; null counts as empty.
+
+    A column of the input that is called ``out`` gets ``input_`` before its name. Rows keep to themselves: repeated contents give
+    equal PNGs, an empty table no rows. A PNG has up to 2^31 - 1 rows of 64 bytes, more than a value can hold.
+    """
+    df, names = make_room(df, [out])
+    content = names[content]
 
     def run(batches):
         for batch in batches:
@@ -139,9 +145,12 @@ def to_png(df: DataFrame, content: str = "content", out: str = "media") -> DataF
 def png_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Append what the stored PNGs hold: ``n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
 
-    All null for a null PNG; one that fails its checksums raises ValueError.
+    All null for a null PNG; one that fails its checksums raises ValueError. Columns of the input with these names get ``input_``
+    before theirs.
     """
     kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    df, names = make_room(df, kinds)
+    media = names[media]
     schema = schema_of(df)
     for c, kind in kinds.items():
         schema = schema.add(c, "long" if kind == pa.int64() else "string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize, schema_of, small_batches, tokenizer_path
+from ._common import documents, make_room, materialize, quoted, schema_of, small_batches, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW, END_ID = 2048, 1
+#: Rows of two numbers that may be broadcast: 16 MB.
+FEW = 1_000_000
 #: White-space separated chunks that a Python worker keeps the ids of, and the longest it keeps.
 KEPT, LONGEST = 800_000, 48
 #: One word of Latin-1 letters, in lower case, and a stop or comma behind it: one or two pre-tokens, whatever stands around.
@@ -28,12 +31,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
+#: What a tokenizer file must say for the short way (fixed values, as they stand in it).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer lower-cases and splits at white space and around letters, so that chunks between white space are independent."""
+    with open(path, "rb") as f:
+        told = json.load(f)
+    steps = lambda part, inner: (told.get(part) or {}).get(inner)
+    plain = not told["model"].get("dropout") and told["model"].get("type") == "BPE" and not told.get("truncation") and not told.get("padding")
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in told.get("added_tokens") or [])
+    return plain and special and steps("normalizer", "normalizers") == NORMALIZERS and steps("pre_tokenizer", "pretokenizers") == PRE_TOKENIZERS
+
+
 class Encoder(dict):
-    """Ids of texts under a tokenizer that lower-cases and splits at white space and around letters; a dict from UTF-8 chunk
-    to little-endian ids that fills itself.
+    """Ids of texts under a tokenizer; a dict from UTF-8 chunk to little-endian ids that fills itself.
 
-    Chunks between ASCII white space are encoded apart and kept. Plain words need the tokenizer's model alone; the others
-    go through the whole tokenizer.
+    Where the tokenizer lower-cases and splits words (``splits_words``), chunks between ASCII white space are encoded apart and
+    kept: plain words need the tokenizer's model alone, the others go through the whole tokenizer. Under any other
+    tokenizer whole texts do.
     """
 
     def __init__(self, path: str):
@@ -41,7 +62,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.letters, self.apart = self.tokenizer.model, _byte_letters(), splits_words(path)
         self.behind = {x: self.ids(x) for x in ".,"} | {"": b""}
 
     def ids(self, text: str) -> bytes:
@@ -66,6 +89,8 @@ class Encoder(dict):
         return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.apart:
+            return [self.ids(t.decode()) for t in texts]
         if len(self) > KEPT:
             self.clear()
         # A-Z may go first where no special token's string and no mark to compose with a letter is near.
@@ -80,7 +105,10 @@ def encoder(path: str) -> Encoder:
 
 def tokenize(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """First pass: append ``ids`` (binary, little-endian unsigned 32-bit, the end id last), ``n_ids``, and the place of a
-    row: its partition ``part`` and the ids before it there, ``before``. Null texts count as empty."""
+    row: its partition ``part`` and the ids before it there, ``before``. Null texts count as empty, texts are read whole;
+    columns of the input with these names get ``input_`` before theirs."""
+    docs, names = make_room(docs, ("ids", "n_ids", "part", "before"))
+    text = names[text]
     path = tokenizer or tokenizer_path(TOKENIZER)
     schema = schema_of(docs).add("ids", "binary").add("n_ids", "long").add("part", "integer").add("before", "long")
     end = np.array([end_id], "<u4").tobytes()
@@ -104,15 +132,16 @@ def tokenize(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
 def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """Second pass: cut the concatenation of all rows into windows, one row per piece.
 
-    Sums of the partitions, added up in their order, give each partition's place; there is one row per partition, few
-    enough for a broadcast. A row over a window's end gives a piece on either side. Returns ``row`` (struct of the other
+    Sums of the partitions, added up in their order, give each partition's place; there is one row per partition, and they
+    are broadcast where they are at most ``FEW``. A row over a window's end gives a piece on either side. Returns ``row`` (struct of the other
     columns), ``start``, ``length``, ``ids`` (of the piece), ``doc_tokens``, ``sequence_id``, ``offset``. Only the last
     sequence can be shorter than the window.
     """
     others = [c for c in tokens.columns if c not in ("ids", "n_ids", "part", "before")]
     sums = tokens.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = materialize(sums.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")), "pack-sums")
-    placed = tokens.join(F.broadcast(base), F.col("part") == F.col("p")).select(F.struct(*others).alias("row"), "ids", (F.col("base") + F.col("before")).alias("at"))
+    base = F.broadcast(base) if base.count() <= FEW else base
+    placed = tokens.join(base, F.col("part") == F.col("p")).select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), "ids", (F.col("base") + F.col("before")).alias("at"))
     new = {"start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
     kinds = {pa.int64(): "long", pa.binary(): "binary"}
     schema = schema_of(placed.select("row"))
@@ -135,8 +164,11 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack(docs: DataFrame, text: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Tokenize, store the ids in the shared folder, and cut; see ``tokenize`` and ``cut``. An empty table gives no pieces."""
-    return cut(materialize(tokenize(docs, text, tokenizer).drop(text), "pack-ids", "snappy"), window)
+    """Tokenize, store the ids in the shared folder, and cut; see ``tokenize`` and ``cut``. An empty table gives no pieces.
+
+    ``row`` holds the columns of the input but the text. Repeated rows are packed each, in the order of their partitions."""
+    docs, names = make_room(docs, ("ids", "n_ids", "part", "before"))
+    return cut(materialize(tokenize(docs, names[text], tokenizer).drop(F.col(quoted(names[text]))), "pack-ids", "snappy"), window)
 
 
 def pieces(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, schema_of, small_batches, tokenizer_path
+from ._common import documents, make_room, schema_of, small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -83,7 +83,13 @@ def merger(path: str) -> Merger:
 
 
 def count_tokens(docs: DataFrame, text: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to the rows; null and empty texts have 0 of each."""
+    """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to the rows; null and empty texts have 0 of each.
+
+    Texts are counted whole. Columns of the input with the names of the results get ``input_`` before theirs. Rows keep to
+    themselves, so repeated rows get equal results; an empty table gives no rows.
+    """
+    docs, names = make_room(docs, ("n_bytes", "n_tokens", "over_limit"))
+    text = names[text]
     path = model or tokenizer_path(MODEL)
     schema = schema_of(docs).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 

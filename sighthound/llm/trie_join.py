@@ -12,23 +12,26 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize, small_batches, utf8
+from ._common import documents, materialize, quoted, small_batches, utf8
 from .components import components
 from .shingles import shingle_sets
 
-#: Counters of the frequency sketch and the slices in which they travel; its size is fixed: 4 MB.
+#: Counters of the frequency sketch and the slices in which they travel; its size is fixed: 8 MB.
 COUNTERS, SLICE = 1 << 20, 1 << 14
-#: Sets in one trie. Larger groups are cut into chunks; members of different chunks are joined chunk by chunk.
-CHUNK = 1024
+#: Sets in one trie, and shingles of all of them (8 MB of text or so, some 80 MB as lists). Larger groups are cut into chunks; members of
+#: different chunks are joined chunk by chunk. A set of more shingles has a chunk of its own.
+CHUNK, WEIGHT = 1024, 1 << 21
 #: Tokens on one edge at most, so that a long edge can be left early.
 EDGE = 48
 #: Rare shingles that similar sets must share (or all that they need to have in common, where that is less), and the
 #: largest group at one shingle whose pairs are counted; sets of larger groups meet by the pivot however few they share.
 SHARE, SMALL = 8, 8
 NO_ID = -(1 << 63)
+#: A word, as the shingles take them.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 class Trie:
@@ -101,7 +104,7 @@ def _groups(batches, keys: tuple[str, ...]):
 
 
 def _ranked(rows: list[tuple], counts: np.ndarray, k: int) -> dict[int, list[int]]:
-    """Node to ascending ranks, commonest shingle first, of rows (node, text, ...). Rows whose text makes another node are of another document with the same id."""
+    """Node to ascending ranks, commonest shingle first, of rows (node, text, ...). Rows whose text makes another node only share a hash with the one that is meant."""
     import xxhash
 
     sets = shingle_sets([r[1] for r in rows], k)
@@ -130,27 +133,27 @@ class Forest:
 
 
 def signatures(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, node, n)`` of every row, node being a 64-bit hash of its shingle set, and the frequency sketch.
+    """``(doc_id, body, node, n)`` of every row, node being a 64-bit hash of its shingle set and body its ``body``, and the frequency sketch.
 
     The sketch counts the shingles of all sets in fixed counters by their hash's upper bits; tasks count apart, counts add up
-    in two steps, and the driver gets the sums: 4 MB, whatever the input.
+    in two steps, and the driver gets the sums: 8 MB, whatever the input.
     """
 
     def run(batches):
         import xxhash
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, names = np.zeros(COUNTERS, np.int64), ["doc_id", "body", "node", "n", "slice", "counts"]
         for batch in batches:
             sets = shingle_sets(batch["text"].to_pylist(), k)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS) if sets else 0
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *none], ["doc_id", "node", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["body"], pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *none], names)
         at = range(0, COUNTERS, SLICE)
         part = TaskContext.get().partitionId()
-        rows = [pa.array([None] * len(at), pa.int64()), pa.array([part] * len(at), pa.int64()), pa.array([None] * len(at), pa.int64()), pa.array([a // SLICE for a in at], pa.int32()), pa.array([counts[a : a + SLICE].astype("<i8").tobytes() for a in at], pa.binary())]
-        yield pa.RecordBatch.from_arrays(rows, ["doc_id", "node", "n", "slice", "counts"])
+        rows = [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([part] * len(at), pa.int64()), pa.array([None] * len(at), pa.int64()), pa.array([a // SLICE for a in at], pa.int32()), pa.array([counts[a : a + SLICE].astype("<i8").tobytes() for a in at], pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, "<i8")
@@ -158,12 +161,12 @@ def signatures(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(x, "<i8")
         return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = materialize(docs.mapInArrow(run, "doc_id long, node long, n long, slice int, counts binary"), "shingle-sets")
+    rows = materialize(docs.mapInArrow(run, "doc_id long, body long, node long, n long, slice int, counts binary"), "shingle-sets")
     sums = rows.filter("slice is not null").withColumn("part", F.pmod("node", F.lit(256))).groupBy("slice", "part").applyInArrow(add, "slice int, counts binary")
     counts = np.zeros(COUNTERS, np.int64)
     for r in sums.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
-    return rows.filter("slice is null").select("doc_id", "node", "n"), counts
+    return rows.filter("slice is null").select("doc_id", "body", "node", "n"), counts
 
 
 def meeting(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
@@ -205,24 +208,31 @@ def meeting(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
     return large.unionByName(small).distinct()
 
 
-def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Sets of the rows ``(doc_id, text)`` and enough links between sets to connect all that links connect.
+def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """Sets of the rows ``(doc_id, body, text)`` and enough links between sets to connect all that links connect.
 
     Within a trie the pivot is probed first; sets that aren't connected to it yet are probed against all others. So every
     link between sets that don't already hang together by the pivot is found. Where a pivot's group is cut into chunks, the
     sets still apart are then probed against the tries of the other chunks.
+
+    One row holds the text of each set: that of the least id and body. Rows alike in both, which would multiply in the
+    join with the texts, are folded before it.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sets, table = signatures(docs, k)
     counts = spark.sparkContext.broadcast(table)
     pairs = materialize(meeting(docs, counts, k, percent), "meeting")
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    members = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node", "chunks")
-    heads = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("node"), "chunks")
-    holders = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("holder"))
-    members = materialize(members.unionByName(heads).join(holders, "node"), "members")
-    texts = docs.select(F.col("doc_id").alias("holder"), "text")
+    holders = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("h"), F.first("n").alias("n"))
+    holders = holders.select("node", F.col("h.doc_id").alias("holder"), F.col("h.body").alias("body"), "n")
+    met = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("node")).distinct()).join(holders, "node")
+    sizes = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / weight)).cast("int").alias("chunks"))
+    members = met.filter("node <> pivot").join(sizes, "pivot").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    heads = met.filter("node = pivot").join(sizes, "pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = materialize(members.unionByName(heads), "members")
+    texts = docs.select(F.col("doc_id").alias("holder"), "body", "text")
+    if not sets.groupBy("doc_id", "body").count().filter("count > 1").isEmpty():
+        texts = texts.groupBy("holder", "body").agg(F.first("text").alias("text"))
 
     def within(batches):
         for (pivot, part), rows in _groups(batches, ("pivot", "chunk")):
@@ -244,46 +254,78 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK) -> tuple[Da
             made = [(x, nodes[i]) for x in probes for i, _ in trie.probe(ranks[x], percent) if forest.join(x, nodes[i])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    # Spark's own runtime filter (of a bounded size) keeps texts without a part in a trie out of the exchange.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-
     def dealt(df: DataFrame) -> DataFrame:
-        joined = texts.join(df.filter(F.col("chunk") >= 0) if dict(df.dtypes)["chunk"] == "int" else df, "holder")
-        return joined.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
-
-    made = materialize(dealt(members.select("holder", "pivot", "chunk", "node")).select("pivot", "chunk", "node", "text").mapInArrow(within, "pivot long, chunk int, a long, b long"), "tries")
-    found = made.filter("b is not null").select("a", "b")
-    apart = made.filter("b is null").select("pivot", F.col("a").alias("node")).join(members.filter("chunks > 1"), ["pivot", "node"])
-    if members.filter("chunks > 1").isEmpty():
-        return sets, found
-    blocks = apart.groupBy("pivot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
-    block = F.concat_ws(":", "chunk", "block").alias("chunk")
-    stored = members.filter("chunks > 1").join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    probing = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumnRenamed("chunk", "home")
-    probing = probing.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("chunk <> home")
-    tasks = stored.select("holder", "pivot", block, "node", F.lit(False).alias("probe")).unionByName(probing.select("holder", "pivot", block, "node", F.lit(True).alias("probe")))
-    more = dealt(tasks).select("pivot", "chunk", "node", "text", "probe").mapInArrow(across, "a long, b long")
-    return sets, found.unionByName(materialize(more, "cross-tries"))
-
-
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+        return texts.join(df, ["holder", "body"]).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
+
+    # Spark's own runtime filter (of a bounded size) keeps texts without a part in a trie out of the exchange.
+    wanted = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        made = materialize(dealt(members.select("holder", "body", "pivot", "chunk", "node")).select("pivot", "chunk", "node", "text").mapInArrow(within, "pivot long, chunk int, a long, b long"), "tries")
+        found = made.filter("b is not null").select("a", "b")
+        cut = members.filter("chunks > 1")
+        if cut.isEmpty():
+            return sets, found
+        apart = made.filter("b is null").select("pivot", F.col("a").alias("node")).join(cut, ["pivot", "node"])
+        blocks = apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks"))
+        block = F.concat_ws(":", "chunk", "block").alias("chunk")
+        stored = cut.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        probing = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumnRenamed("chunk", "home")
+        probing = probing.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("chunk <> home")
+        columns = ["holder", "body", "pivot", block, "node"]
+        tasks = stored.select(*columns, F.lit(False).alias("probe")).unionByName(probing.select(*columns, F.lit(True).alias("probe")))
+        more = dealt(tasks).select("pivot", "chunk", "node", "text", "probe").mapInArrow(across, "a long, b long")
+        return sets, found.unionByName(materialize(more, "cross-tries"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK, weight: int = WEIGHT) -> DataFrame:
+    """``(id, body, n, root)`` of every row: its id, a 64-bit hash of its text, the size of its set, and a number of the
+    component that it is in, null where the set is empty. Repeated ids with different texts are rows of their own here."""
+    read = F.col(quoted(text))
+    docs = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NO_ID)).alias("doc_id"), body_of(read).alias("body"), utf8(read).alias("text"))
+    sets, found = links(docs, k, percent, chunk, weight)
+    own = sets.join(components(found), "node", "left")
+    return own.select(F.nullif("doc_id", F.lit(NO_ID)).alias("id"), "body", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
+
+
+def body_of(text: Column) -> Column:
+    return F.xxhash64(utf8(text))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK, weight: int = WEIGHT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: documents whose shingle sets have a Jaccard similarity of
     ``percent`` hundredths or more link, and a component is all that links reach, named by its smallest id.
 
     Texts without words have no set and link with nothing; repeated rows and equal texts link with each other. Rows without
-    an id take part, and get the smallest id of their component, null if it has none.
+    an id take part, and get the smallest id of their component, null if it has none. Rows of one id with different texts are
+    rows of their own, each with its set and component. Other columns are left behind, whatever their names; an empty
+    table gives no rows, and texts are read whole.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), utf8(F.col(text)).alias("text"))
-    sets, found = links(docs, k, percent)
-    roots = components(found)
-    own = sets.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    own = own.withColumn("id", F.nullif("doc_id", F.lit(NO_ID)))
+    own = jaccard_rows(docs, k, percent, id_col, text, chunk, weight)
     least = own.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     full = own.filter("root is not null").join(least, "root").select("id", "n", "least").unionByName(own.filter("root is null").select("id", "n", F.col("id").alias("least")))
     return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component of ``jaccard_rows`` one row stays, that of the least id
+    (rows without an id last), of equal ids that of the least hash of the text. Of rows alike in both one stays.
+
+    Rows without words link with nothing and all stay. Columns stay as they are, whatever their names.
+    """
+    own = jaccard_rows(docs, k, percent, id_col, text).filter("root is not null")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("f")).select(F.col("f.id").alias("id"), F.col("f.body").alias("body")).distinct()
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).cast("long").alias("doc"), body_of(F.col(quoted(text))).alias("hash"), F.coalesce(F.regexp_like(F.col(quoted(text)), F.lit(WORD)), F.lit(False)).alias("words"))
+    kept = rows.filter("words").join(first, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("body")), "left_semi")
+    kept = kept.dropDuplicates(["doc", "hash"]).unionByName(rows.filter("not words"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles at a Jaccard similarity of 0.85."""
     return jaccard_classes(documents(spark, sf_dir), 4, 85)
