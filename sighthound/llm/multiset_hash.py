@@ -9,6 +9,8 @@ so paragraphs may come in any order and be inserted or deleted later. The likene
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,13 +82,14 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when {a} = {b} then 1.0D else coalesce(greatest(0.0D, least(1.0D, {sums})), 0.0D) end")
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``next``, a struct of ``columns`` of the following row in ascending ``key``; after the last comes the first.
 
-    Rows of one key are ordered by a hash of ``columns``, null keys come first; rows alike in all of these are
+    Rows of one key are ordered by a hash of those ``columns`` that ``docs`` has, null keys come first; rows alike in all of these are
     interchangeable. Rows go to buckets of about equal size between quantiles of the key (as many as four times the shuffle
     partitions); a key that fills several of them is split by the hash. Each bucket is ordered by itself, and one row, the
-    first of each bucket, also visits the bucket before. One exchange moves the rows. A column ``next`` of the input gets
+    first of each bucket, also visits the bucket before. One exchange moves the rows. ``prepare`` adds columns, which ``columns``
+    may name too, just before that exchange, so the passes that place the rows don't compute them. A column ``next`` of the input gets
     ``input_`` before its name; an empty table stays empty.
     """
     spark = docs.sparkSession
@@ -94,7 +97,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     others = list(docs.columns)
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = F.coalesce(F.col(quoted(names[key])).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), low.alias("k"), F.xxhash64(*[F.col(quoted(names[c])) for c in columns]).alias("tie"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), low.alias("k"), F.xxhash64(*[F.col(quoted(names[c])) for c in columns if c in names]).alias("tie"))
     found = docs.select(low.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     cuts, shares = sorted(set(found or [])), {}
     for x in found or []:
@@ -111,8 +114,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     dealt = lambda df: df.withColumn("cuts", table).withColumn("bucket", F.expr(find)).drop("cuts").withColumn("part", F.when((F.col("k") == of(first)) & (of(parts) > 1), F.least(spread, of(parts) - 1)).otherwise(of(parts)))
     least = dealt(rows.select("k", "tie")).groupBy("bucket", "part").agg(F.min(F.struct("k", "tie")).alias("m")).collect()  # at most 2 n rows
     places = sorted((r["bucket"], r["part"], r["m"]["k"], r["m"]["tie"]) for r in least)
+    prepare = prepare or (lambda df: df)
     if not places:
-        return docs.withColumn("next", F.struct(*[F.col(quoted(names[c])).alias(c) for c in columns]))
+        return prepare(docs).withColumn("next", F.struct(*[F.col(quoted(names.get(c, c))).alias(c) for c in columns]))
     rows = dealt(rows)
     before = [(*m, *places[i - 1][:2]) for i, m in enumerate(places)]
     long = lambda x: "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
@@ -120,15 +124,19 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     ghosts = rows.join(F.broadcast(visits), ["bucket", "part", "k", "tie"]).groupBy("to_bucket", "to_part").agg(F.first("row").alias("row"))
     ghosts = ghosts.select("row", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("tie"), F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part"), F.lit(1).alias("ghost"))
     both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    place = free_name([*others, *columns], "place")
+    both = prepare(both.select(*[F.col("row")[c].alias(c) for c in others], F.struct("bucket", "part", "k", "tie", "ghost").alias(place)))
+    others = [c for c in both.columns if c != place]
+    both = both.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.col(place)["bucket"].alias("bucket"), F.col(place)["part"].alias("part"), F.col(place)["k"].alias("k"), F.col(place)["tie"].alias("tie"), F.col(place)["ghost"].alias("ghost"))
     # The whole row is led, not some of its columns: these would travel beside it.
     both = both.withColumn("following", F.lead("row").over(W.partitionBy("bucket", "part").orderBy("ghost", "k", "tie")))
-    return both.filter("ghost = 0").select(*[F.col("row")[c].alias(c) for c in others], F.struct(*[F.col("following")[names[c]].alias(c) for c in columns]).alias("next"))
+    return both.filter("ghost = 0").select(*[F.col("row")[c].alias(c) for c in others], F.struct(*[F.col("following")[names.get(c, c)].alias(c) for c in columns]).alias("next"))
 
 
 def op6_multiset_hash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with likeness to the edited text and the next document."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(with_fingerprint(docs, "text", "fp"), ["text", "fp"])
+    df = with_next(docs, ["text", "fp"], prepare=lambda rows: with_fingerprint(rows, "text", "fp"))
     df = df.withColumn("n_chars", F.char_length("text").cast("long"))
     half = "cast(n_chars div 2 as int)"
     df = df.withColumn("edited", F.expr(f"concat(left(text, cast(n_chars as int) - {half}), left(next.text, {half}))"))
