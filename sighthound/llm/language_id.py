@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from ._common import documents, make_room, schema_of, small_batches, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Characters that regular expressions take as part of words but that are no letters (category L): fractions, superscripts, Roman numerals.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: A run of letters.
-WORDS = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
+WORDS = re.compile(r"[^\W\d_]+")
+#: Characters that regular expressions take as part of words but that are no letters (category L), fractions, superscripts and Roman numerals among them.
+NUMERALS = {c: " " for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()}
 #: Bounds of the training sample for each language: documents expected (by a threshold on a hash of doc_id) and words kept.
 TRAIN_DOCS, TRAIN_WORDS = 1000, 30_000
 #: Letters of a word from which on training sums logarithms: products of as many probabilities could underflow.
@@ -52,6 +51,12 @@ def automaton(path: str):
     return found, n
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters of a text, in lower case."""
+    found = WORDS.findall(text.lower())
+    return found if "".join(found).isalpha() else WORDS.findall(text.lower().translate(NUMERALS))
+
+
 class Lattice:
     """Edges of many words: each goes from node ``start`` to ``end`` with a piece; a character without a piece of its own gets the unknown piece."""
 
@@ -184,7 +189,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int
         for batch in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(words_of(text))
             rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -215,7 +220,7 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by text and language, and the number of words of each text."""
-        words = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
         if len(self.rows) > KEPT_WORDS:
