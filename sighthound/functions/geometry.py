@@ -52,3 +52,8 @@ def temporal_bonus(a0, a1, b0, b1) -> Column:
     a0, a1, b0, b1 = map(_col, (a0, a1, b0, b1))
     gap = F.least(F.abs(a0 - b0), F.abs(a0 - b1), F.abs(a1 - b0), F.abs(a1 - b1))
     return F.when(gap < 300, 0.15 * (1 - gap / 300)).otherwise(0.0)
+
+
+def normalised(vector: str) -> Column:
+    """A vector at unit length, in double; one of length 0 stays."""
+    return F.expr(f"transform(transform({vector}, x -> cast(x as double)), x -> x / coalesce(nullif(sqrt(aggregate({vector}, 0D, (a, y) -> a + cast(y as double) * cast(y as double))), 0D), 1D))")

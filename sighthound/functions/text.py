@@ -77,3 +77,37 @@ def moment(date: Column, start: Column, seconds: Column) -> Column:
 
 def confidence_band(share: Column) -> Column:
     return F.when(share * 100 >= 60, "success").when(share * 100 >= 30, "warning").otherwise("info")
+
+
+def person_text(upper: Column, lower: Column) -> Column:
+    return F.concat(upper, F.lit(" top, "), lower, F.lit(" bottom"))
+
+
+def vehicle_text(colour: Column, kind: Column) -> Column:
+    return F.concat_ws(" ", colour, kind)
+
+
+def file_stem(path: Column) -> Column:
+    """A file's name without folder and last ending: the label of a camera."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def class_rgb(name: Column) -> Column:
+    """A class's colour: the first three bytes of the MD5 of its name."""
+    digest = F.md5(name.cast("binary"))
+    return F.array(*[F.conv(F.substring(digest, i, 2), 16, 10).cast("int") for i in (1, 3, 5)])
+
+
+def clock_from(start: Column, seconds: Column) -> Column:
+    """HH:MM:SS of a clock that stood at ``start`` (HH:MM:SS) when the recording began, round the clock; without a start the time since then."""
+    part = F.split(start, ":")
+    begin = part[0].cast("long") * 3600 + part[1].cast("long") * 60 + part[2].cast("long")
+    s = F.pmod(F.coalesce(begin, F.lit(0)) + F.floor(seconds), F.when(begin.isNotNull(), F.lit(86400)).otherwise(F.lit(1 << 40)))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    hours = F.floor(s / 3600)
+    return F.concat_ws(":", F.when(hours > 99, hours.cast("string")).otherwise(two(hours)), two(F.floor(s / 60) % 60), two(s % 60))
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])

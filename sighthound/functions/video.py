@@ -49,3 +49,30 @@ def metadata_flags(container: Column, frames: Column, fps: Column, size: Column,
         flag((declared > 0) & (frames > 0) & (miss > F.greatest(frames * 0.01, F.lit(5.0))), "frames", "warning", F.try_divide(miss, frames)),
     )
     return F.array_compact(all_flags)
+
+
+def frame_seconds(index: Column, fps: Column) -> Column:
+    """Seconds of a frame; null where the rate is null or 0."""
+    return F.try_divide(index.cast("double"), fps.cast("double"))
+
+
+def upscale(height: Column, least: int = 200) -> Column:
+    """Whole factor by which a crop of ``height`` grows before it is read."""
+    return F.greatest(F.lit(1), F.floor(F.lit(least) / F.greatest(height, F.lit(1)))).cast("int")
+
+
+#: Parts of a box by rows and columns (from, to) that colours are taken from.
+REGIONS = {"upper": (0.15, 0.45, 0.25, 0.75), "lower": (0.50, 0.80, 0.25, 0.75), "vehicle": (0.25, 0.75, 0.10, 0.90), "hair": (0.0, 0.15, 0.30, 0.70)}
+
+
+def region(box: list[Column], name: str) -> list[Column]:
+    """Corners of a part of a box, whole pixels."""
+    x1, y1, x2, y2 = box
+    top, bottom, left, right = REGIONS[name]
+    return [F.floor(x1 + (x2 - x1) * left), F.floor(y1 + (y2 - y1) * top), F.floor(x1 + (x2 - x1) * right), F.floor(y1 + (y2 - y1) * bottom)]
+
+
+def similarity_index(mean_a: Column, mean_b: Column, var_a: Column, var_b: Column, covariance: Column) -> Column:
+    """Structural similarity of two 8-bit pictures from their statistics."""
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return (2 * mean_a * mean_b + c1) * (2 * covariance + c2) / ((mean_a * mean_a + mean_b * mean_b + c1) * (var_a + var_b + c2))

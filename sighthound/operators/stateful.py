@@ -181,6 +181,38 @@ def spatial_leaders(d: DataFrame, group: list[str], id_col: str, radius: float)
     return rows.mapInArrow(run, schema)
 
 
+def first_returns(moves: DataFrame, key: str, within: float) -> DataFrame:
+    """Pairs ``(key, dep, arr, away)`` from moves ``(key, id, ts_sec, back)``: departures in order, each with the first strictly later return that none before it has, if it is at most ``within`` away.
+
+    Read in order of time that is a queue: a return goes to the longest open departure, and departures that are too old
+    leave it. Rows stream through sorted partitions; a task holds the open departures of one key only.
+    """
+    from collections import deque
+
+    kind = {f.name: f.dataType.simpleString() for f in moves.schema.fields}[key]
+    rows = moves.select(key, "ts_sec", (~F.col("back")).alias("leaves"), "id").dropna().repartition(key).sortWithinPartitions(key, "ts_sec", "leaves", "id")
+
+    def run(batches):
+        now, waiting = None, deque()
+        for batch in batches:
+            out = []
+            for k, ts, leaves, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    now, waiting = k, deque()
+                if leaves:
+                    waiting.append((ts, i))
+                    continue
+                while waiting and ts - waiting[0][0] > within:
+                    waiting.popleft()
+                if waiting:  # equal times put returns first, so what waits left strictly before
+                    at, dep = waiting.popleft()
+                    out.append((k, dep, i, ts - at))
+            types = (batch.schema.field(key).type, pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(types)], [key, "dep", "arr", "away"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, dep long, arr long, away double")
+
+
 def reading_order(boxes: DataFrame, group: list[str], id_col: str) -> DataFrame:
     """Append ``place``: boxes of a group from top to bottom, then from left to right, equal corners by id; boxes without a corner come last."""
     order = [F.col(c).asc_nulls_last() for c in ("y1", "x1", id_col)]

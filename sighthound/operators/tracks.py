@@ -59,3 +59,28 @@ def majority(d: DataFrame, column: str, top: int = 5) -> DataFrame:
     votes = d.withColumn("i", F.row_number().over(w)).filter((F.col("i") <= top) & (F.col(column) != "unknown"))
     votes = votes.groupBy("camera", "track_id", column).agg(F.count("*").alias("c"), F.min("i").alias("i"))
     return votes.groupBy("camera", "track_id").agg(F.max_by(column, F.struct("c", -F.col("i"))).alias(column))
+
+
+def outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
+    """Rows whose ``column`` is more than ``limit`` standard deviations off the mean of all rows, with ``z`` and ``confidence``. Mean and deviation are one row, which is broadcast."""
+    whole = df.agg(F.avg(column).alias("__mean"), F.stddev_pop(column).alias("__deviation"))
+    z = F.try_divide(F.abs(F.col(column) - F.col("__mean")), F.col("__deviation"))
+    return df.crossJoin(F.broadcast(whole)).withColumn("z", z).drop("__mean", "__deviation").filter(F.col("z") > limit).withColumn("confidence", F.least(F.col("z") / 5, F.lit(1.0)))
+
+
+def split_at_break(d: DataFrame, ratio: float = 0.5, half: int = 15, step: int = 20_000) -> DataFrame:
+    """Split tracks once, where ``size_break`` finds a break: from there on they get new ids, the camera's largest plus ``step`` and counted from 1 by track."""
+    top = d.groupBy("camera").agg(F.max("track_id").alias("top"))
+    k = F.row_number().over(W.partitionBy("camera").orderBy("track_id"))
+    breaks = size_break(d, ratio, half).withColumn("k", k).join(top, "camera").select("camera", "track_id", "split_frame", (F.col("top") + step + F.col("k")).alias("fresh"))
+    new = F.when(F.col("frame_idx") >= F.col("split_frame"), F.col("fresh")).otherwise(F.col("track_id"))
+    return d.join(breaks, ["camera", "track_id"], "left").withColumn("track_id", new).drop("split_frame", "fresh")
+
+
+def timeline(sightings: DataFrame, identity: str) -> DataFrame:
+    """Rows of each identity's time line: ``on`` for a sighting, ``off`` for the time to the next one on the same camera and ``transit`` on another, where there is any."""
+    w = W.partitionBy(identity).orderBy("first_ts", "last_ts", "camera")
+    s = sightings.withColumn("was", F.lag("camera").over(w)).withColumn("until", F.lag("last_ts").over(w))
+    on = F.struct(F.lit("on").alias("kind"), F.col("camera").alias("place"), F.col("first_ts").alias("begin"), F.col("last_ts").alias("finish"))
+    gap = F.struct(F.when(F.col("was") == F.col("camera"), "off").otherwise("transit").alias("kind"), F.when(F.col("was") == F.col("camera"), F.col("camera")).otherwise(F.concat_ws(" > ", "was", "camera")).alias("place"), F.col("until").alias("begin"), F.col("first_ts").alias("finish"))
+    return s.select(identity, F.inline(F.array(on, gap))).filter("kind = 'on' or finish > begin").withColumn("lasts", F.col("finish") - F.col("begin"))

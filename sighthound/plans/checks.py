@@ -99,8 +99,10 @@ def slots(spark, sf):
 
 
 def noise_gate(spark, sf):
-    """Segments with two detections at least, before and after the split."""
-    s = gap_split(detections(spark, sf), 360)
+    """Segments with two detections at least; of vehicles the whole track needs two before the split as well."""
+    d = detections(spark, sf)
+    many = F.count("*").over(W.partitionBy("camera", "track_id")) >= 2
+    s = gap_split(d.withColumn("many", many).filter((F.col("entity_type") == "person") | F.col("many")), 360)
     return s.groupBy("camera", "entity_type", "track_id", "segment").agg(F.count("*").alias("n")).filter("n >= 2")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou, dot, range_iou
 from ..operators.joins import greedy_match, interval_join, nearest, similar_pairs
+from ..operators.stateful import first_returns
 from ..operators.tracks import TRACKLETS_SQL as T
 from ..operators.tracks import tracklets
 from ..sources.tables import DETECTIONS_SQL as D
@@ -62,8 +62,8 @@ def vehicle_topk(spark, sf):
 
 
 def unmatched(spark, sf):
-    """Customers without an order, and how the others' nations compare: the anti and the semi join."""
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an order of high priority in its first month: the anti join."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and month(o_orderdate) = 1")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_nationkey")
 
 
@@ -83,15 +83,10 @@ def camera_sites(spark, sf):
 
 
 def round_trips(spark, sf):
-    """Each departure (purchase) with the user's next later return (click) within a day, each return once per departure run."""
-    d = detections(spark, sf)
-    dep = d.filter("class_name = 'purchase'").select("track_id", F.col("event_id").alias("dep"), F.col("ts_sec").alias("t0"))
-    arr = d.filter("class_name = 'click'").select("track_id", F.col("event_id").alias("arr"), F.col("ts_sec").alias("t1"))
-    pairs = dep.withColumn("bucket", F.floor(F.col("t0") / 86400)).join(arr.withColumn("bucket", F.explode(F.array(F.floor(F.col("t1") / 86400), F.floor(F.col("t1") / 86400) - 1))), ["track_id", "bucket"])
-    pairs = pairs.filter((F.col("t1") > F.col("t0")) & (F.col("t1") - F.col("t0") <= 86400))
-    first = pairs.withColumn("r", F.row_number().over(W.partitionBy("dep").orderBy("t1", "arr"))).filter("r = 1")
-    once = first.withColumn("q", F.row_number().over(W.partitionBy("arr").orderBy(F.desc("t0"), "dep"))).filter("q = 1")
-    return once.select("track_id", "dep", "arr", F.round(F.col("t1") - F.col("t0"), 6).alias("away"))
+    """Departures (purchases) of each user in order, each with the first later return (click) within a day that none before it has."""
+    d = detections(spark, sf).filter(F.col("class_name").isin("purchase", "click"))
+    got = first_returns(d.select("track_id", F.col("event_id").alias("id"), "ts_sec", (F.col("class_name") == "click").alias("back")), "track_id", 86400.0)
+    return got.select("track_id", "dep", "arr", F.round("away", 6).alias("away"))
 
 
 PLANS = {
@@ -105,12 +100,16 @@ PLANS = {
  SELECT vehicle_event, first(person_event ORDER BY gap, person_event) AS person_event, round(min(gap), 6) AS gap FROM j GROUP BY vehicle_event"""),
     "poi_probe": (poi_probe, f"WITH {G} SELECT x.vec_id, x.camera, round(list_dot_product(x.v, y.v), 6) AS similarity FROM g AS x, g AS y WHERE y.vec_id = 0 AND x.entity_type = 'person' AND round(list_dot_product(x.v, y.v), 6) >= 0.2"),
     "vehicle_topk": (vehicle_topk, f"WITH {G} SELECT x.vec_id, round(list_dot_product(x.v, y.v), 6) AS similarity FROM g AS x, g AS y WHERE y.vec_id = 0 AND x.entity_type = 'vehicle' ORDER BY similarity DESC, x.vec_id LIMIT 10"),
-    "unmatched_anti": (unmatched, "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "unmatched_anti": (unmatched, "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND month(o_orderdate) = 1)"),
     "camera_sites": (camera_sites, "SELECT n_name, count(*) AS sites, round(avg(s_acctbal), 4) AS mean FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
     "greedy_match": (greedy, f"""WITH RECURSIVE {G}, p AS (SELECT x.vec_id AS i, y.vec_id AS j, list_dot_product(x.v, y.v) AS r FROM g AS x JOIN g AS y ON x.camera = 'cam0' AND y.camera = 'cam1'), o AS (SELECT i, j, round(r, 6) AS s, row_number() OVER (ORDER BY round(r, 6) DESC, i, j) AS n FROM p WHERE r >= 0.3),
  f(n, ui, uj, ok, i, j, s) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], false, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE UNION ALL
  SELECT o.n, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN ui ELSE list_append(ui, o.i) END, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN uj ELSE list_append(uj, o.j) END, NOT (list_contains(ui, o.i) OR list_contains(uj, o.j)), o.i, o.j, o.s FROM f JOIN o ON o.n = f.n + 1)
  SELECT i, j, s FROM f WHERE ok"""),
-    "round_trips": (round_trips, f"""WITH {D}, j AS (SELECT a.track_id, a.event_id AS dep, b.event_id AS arr, a.ts_sec AS t0, b.ts_sec AS t1 FROM d AS a JOIN d AS b ON a.track_id = b.track_id AND a.class_name = 'purchase' AND b.class_name = 'click' AND b.ts_sec > a.ts_sec AND b.ts_sec - a.ts_sec <= 86400),
- f AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY dep ORDER BY t1, arr) = 1), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY arr ORDER BY t0 DESC, dep) = 1) SELECT track_id, dep, arr, round(t1 - t0, 6) AS away FROM o"""),
+    "round_trips": (round_trips, f"""WITH RECURSIVE {D}, r AS (SELECT track_id, list(struct_pack(t := ts_sec, e := event_id) ORDER BY ts_sec, event_id) AS back FROM d WHERE class_name = 'click' GROUP BY track_id),
+ o AS (SELECT track_id, event_id, ts_sec, row_number() OVER (PARTITION BY track_id ORDER BY ts_sec, event_id) AS n FROM d WHERE class_name = 'purchase'),
+ f AS (SELECT track_id, 0::BIGINT AS n, back AS free, NULL::BIGINT AS dep, NULL::BIGINT AS arr, NULL::DOUBLE AS away FROM r UNION ALL
+ SELECT track_id, n, CASE WHEN hit.t - ts_sec <= 86400 THEN list_filter(free, lambda x: x.e <> hit.e) ELSE free END, event_id, CASE WHEN hit.t - ts_sec <= 86400 THEN hit.e END, hit.t - ts_sec
+ FROM (SELECT f.track_id, o.n, free, o.event_id, o.ts_sec, list_filter(free, lambda x: x.t > o.ts_sec)[1] AS hit FROM f JOIN o ON o.track_id = f.track_id AND o.n = f.n + 1))
+ SELECT track_id, dep, arr, round(away, 6) AS away FROM f WHERE arr IS NOT NULL"""),
 }

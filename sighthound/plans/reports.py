@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.evaluation import score_columns
 from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import detections, table
 
@@ -23,7 +24,7 @@ def filter_detections(d, class_name: str | None = None, min_conf: float = 0.0, s
 
 def detections_filter(spark, sf):
     d = filter_detections(detections(spark, sf), "click", 0.5, 1000.0, 900000.0)
-    return d.select("event_id", "camera", "frame_idx", "ts_sec", F.array("x1", "y1", "x2", "y2").cast("string").alias("bbox")).drop("bbox").orderBy("ts_sec", "event_id")
+    return d.select("event_id", "camera", "frame_idx", "ts_sec", F.array_join(F.transform(F.array("x1", "y1", "x2", "y2"), lambda x: x.cast("long").cast("string")), ",").alias("bbox")).orderBy("ts_sec", "event_id")
 
 
 def distinct_cameras(spark, sf):
@@ -90,16 +91,10 @@ def motion_ratio(spark, sf):
     return d.groupBy("camera").agg(F.count_if("has_motion").alias("with_motion"), F.round(F.avg(F.col("has_motion").cast("double")), 6).alias("ratio"))
 
 
-def scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
-    """Precision, recall and F1, 0 where undefined, to four places."""
-    p, r = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
-    return {"precision": F.round(p, 4), "recall": F.round(r, 4), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4)}
-
-
 def eval_prf(spark, sf):
     g = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").groupBy("source")
     g = g.agg(F.count_if(F.expr("quality = 1 and toxic = 0")).alias("tp"), F.count_if(F.expr("quality = 1 and toxic = 1")).alias("fp"), F.count_if(F.expr("quality = 0 and toxic = 0")).alias("fn"))
-    return g.withColumns(scores(F.col("tp"), F.col("fp"), F.col("fn")))
+    return g.withColumns(score_columns(F.col("tp"), F.col("fp"), F.col("fn"))).withColumnRenamed("f1_score", "f1")
 
 
 def grid_hist(spark, sf, cell: int = 50):
@@ -145,7 +140,7 @@ RISK = f"WITH {D}, f AS (SELECT *, CASE WHEN conf > 0.98 THEN 'critical' WHEN co
 P = "w / h BETWEEN {} AND {} AND w >= {} AND h >= {}"
 PLANS = {
     "class_stats": (class_stats, f"WITH {D} SELECT class_name, count(*) AS n, min(frame_idx) AS first_frame, first(ts_sec ORDER BY frame_idx, event_id) AS first_ts, max(frame_idx) AS last_frame, first(ts_sec ORDER BY frame_idx DESC, event_id) AS last_ts FROM d GROUP BY class_name"),
-    "detections_filter": (detections_filter, f"WITH {D} SELECT event_id, camera, frame_idx, ts_sec FROM d WHERE class_name = 'click' AND conf >= 0.5 AND ts_sec >= 1000.0 AND ts_sec <= 900000.0"),
+    "detections_filter": (detections_filter, f"WITH {D} SELECT event_id, camera, frame_idx, ts_sec, concat_ws(',', x1::BIGINT, y1::BIGINT, x2::BIGINT, y2::BIGINT) AS bbox FROM d WHERE class_name = 'click' AND conf >= 0.5 AND ts_sec >= 1000.0 AND ts_sec <= 900000.0"),
     "distinct_cameras": (distinct_cameras, f"WITH {D} SELECT DISTINCT camera FROM d"),
     "entity_search": (entity_search, "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%a%' AND p_size BETWEEN 5 AND 20 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')"),
     "class_gates": (class_gates, f"WITH {D} SELECT camera, entity_type, count(*) AS n FROM d WHERE conf >= CASE WHEN entity_type = 'person' THEN 0.25 ELSE 0.30 END GROUP BY ALL"),
@@ -158,7 +153,7 @@ PLANS = {
     "motion_ratio": (motion_ratio, f"WITH {D} SELECT camera, count(*) FILTER (conf >= 0.3) AS with_motion, round(avg((conf >= 0.3)::INTEGER::DOUBLE), 6) AS ratio FROM d GROUP BY camera"),
     "eval_prf": (eval_prf, """WITH g AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn FROM labels JOIN documents USING (doc_id) GROUP BY source),
  h AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS r FROM g)
- SELECT source, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM h"""),
+ SELECT source, tp, fp, fn, round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM h"""),
     "grid_hist": (grid_hist, f"WITH {D}, c AS (SELECT DISTINCT camera, floor(x1 / 50)::BIGINT AS cx, floor(y1 / 50)::BIGINT AS cy FROM d) SELECT c.camera, cx, cy, count(*) AS n FROM c JOIN d ON c.camera = d.camera AND abs(x1 - cx * 50) < 50 AND abs(y1 - cy * 50) < 50 GROUP BY ALL"),
     "manifest_verify": (manifest_verify, """WITH x AS (SELECT doc_id, n_chars, '/v/' || doc_id AS path, sha256(text) AS sha FROM documents),
  m AS (SELECT doc_id AS ord, path AS m_path, CASE WHEN n_chars < 200 THEN sha256(path) ELSE sha END AS m_sha FROM x WHERE n_chars <= 2000),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import area
 from ..operators.stateful import absorb_concurrent, iou_tracker, leader_dedup
 from ..operators.tracks import TRACKLETS_SQL as T
-from ..operators.tracks import gap_split, majority, middle_detection, size_break, tracklets
+from ..operators.tracks import gap_split, majority, outliers, middle_detection, size_break, tracklets
 from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import detections, gallery, table
 
@@ -30,8 +30,10 @@ def entity_extent(spark, sf):
 
 
 def best_crop(spark, sf):
+    """The surest detection of each track among those large enough; of equals the one met first."""
     gate = (F.col("w") >= 20) & (F.col("h") >= 30)
-    return detections(spark, sf).filter(gate).groupBy("camera", "track_id").agg(F.max_by("event_id", F.struct(area(), -F.col("event_id"))).alias("event_id"), F.max(area()).alias("area"))
+    best = F.max_by(F.struct("event_id", "conf"), F.struct("conf", -F.col("frame_idx"), -F.col("event_id")))
+    return detections(spark, sf).filter(gate).groupBy("camera", "track_id").agg(best.alias("b")).select("camera", "track_id", "b.event_id", "b.conf")
 
 
 def median_rep(spark, sf):
@@ -86,10 +88,9 @@ def gop_cv(spark, sf):
 
 
 def zscore_outliers(spark, sf):
-    w = W.partitionBy("class_name")
-    d = detections(spark, sf).withColumn("area", area())
-    z = F.abs(F.col("area") - F.avg("area").over(w)) / F.stddev_pop("area").over(w)
-    return d.withColumn("z", z).filter("z > 2").select("event_id", F.round("z", 5).alias("z"), F.round(F.least(F.col("z") / 5, F.lit(1.0)), 5).alias("confidence"))
+    """Values more than three standard deviations off the mean of all."""
+    e = outliers(table(spark, sf, "events").select("event_id", "value"), "value")
+    return e.select("event_id", F.round("z", 5).alias("z"), F.round("confidence", 5).alias("confidence"))
 
 
 def spread(spark, sf):
@@ -111,8 +112,11 @@ def track_ids(spark, sf):
 
 
 def concurrent_leaders(spark, sf):
-    t = tracklets(detections(spark, sf)).withColumn("key", F.col("track_id") * 10000 + F.col("segment"))
-    return absorb_concurrent(t, 0.4)
+    """Tracks of a camera and type that run beside each other at the same place, by the truncated mean box of each segment."""
+    d = detections(spark, sf)
+    box = gap_split(d, 360).groupBy("camera", "track_id", "segment").agg(*[(F.sum(c) / F.count(c)).cast("long").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    t = tracklets(d).drop("x1", "y1", "x2", "y2").join(box, ["camera", "track_id", "segment"]).withColumn("key", F.col("track_id") * 10000 + F.col("segment"))
+    return absorb_concurrent(t, 0.25)
 
 
 def gallery_leaders(spark, sf):
@@ -127,7 +131,7 @@ PLANS = {
  list_sort(list(a) OVER (PARTITION BY camera, track_id ORDER BY frame_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING))[8] AS bef, list_sort(list(a) OVER (PARTITION BY camera, track_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING))[8] AS aft
  FROM f WINDOW q AS (PARTITION BY camera, track_id ORDER BY frame_idx)) SELECT camera, track_id, min(frame_idx) AS split_frame FROM r WHERE i > 15 AND i <= n - 15 AND least(bef, aft) / greatest(bef, aft) < 0.5 GROUP BY ALL"""),
     "entity_extent": (entity_extent, f"WITH {D} SELECT camera, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n FROM d GROUP BY ALL"),
-    "best_crop": (best_crop, f"WITH {D} SELECT camera, track_id, first(event_id ORDER BY w * h DESC, event_id) AS event_id, max(w * h) AS area FROM d WHERE w >= 20 AND h >= 30 GROUP BY ALL"),
+    "best_crop": (best_crop, f"WITH {D} SELECT camera, track_id, first(event_id ORDER BY conf DESC, frame_idx, event_id) AS event_id, max(conf) AS conf FROM d WHERE w >= 20 AND h >= 30 GROUP BY ALL"),
     "median_rep": (median_rep, f"WITH {D}, r AS (SELECT *, row_number() OVER (PARTITION BY camera, track_id ORDER BY frame_idx, event_id) AS i, count(*) OVER (PARTITION BY camera, track_id) AS n FROM d) SELECT camera, track_id, event_id, frame_idx, n FROM r WHERE i = n // 2 + 1"),
     "color_vote": (color_vote, f"""WITH {D}, r AS (SELECT *, row_number() OVER (PARTITION BY camera, track_id ORDER BY w * h DESC, event_id) AS i FROM d), c AS (SELECT camera, track_id, class_name, count(*) AS c, min(i) AS i FROM r WHERE i <= 5 AND class_name <> 'unknown' GROUP BY ALL)
  SELECT camera, track_id, first(class_name ORDER BY c DESC, i) AS class_name FROM c GROUP BY ALL"""),
@@ -141,7 +145,7 @@ PLANS = {
  SELECT l_orderkey, l_linenumber, round(step, 6) AS step, CASE WHEN step > 1 THEN 'critical' ELSE 'warning' END AS severity FROM x WHERE step > 0.15"""),
     "gop_cv": (gop_cv, f"""WITH {D}, l AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts_sec, event_id) AS line FROM d), k AS (SELECT *, line - lag(line) OVER (PARTITION BY track_id ORDER BY ts_sec, event_id) AS gop FROM l WHERE class_name = 'click'),
  g AS (SELECT track_id, count(*) AS keys, stddev_pop(gop) / avg(gop) AS cv FROM k GROUP BY track_id HAVING count(*) >= 3) SELECT track_id, keys, round(cv, 6) AS cv, cv > 0.5 AS anomaly FROM g"""),
-    "zscore_outliers": (zscore_outliers, f"WITH {D}, z AS (SELECT event_id, abs(w * h - avg(w * h) OVER (PARTITION BY class_name)) / stddev_pop(w * h) OVER (PARTITION BY class_name) AS z FROM d) SELECT event_id, round(z, 5) AS z, round(least(z / 5, 1.0), 5) AS confidence FROM z WHERE z > 2"),
+    "zscore_outliers": (zscore_outliers, "WITH z AS (SELECT event_id, abs(value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM events) SELECT event_id, round(z, 5) AS z, round(least(z / 5, 1.0), 5) AS confidence FROM z WHERE z > 3"),
     "spread": (spread, f"WITH {D} SELECT camera, median(conf) AS median, round(avg(conf), 6) AS mean, round(stddev_pop(conf), 6) AS std, min(conf) AS least, max(conf) AS most FROM d GROUP BY camera"),
     "vehicle_events": (vehicle_events, f"""WITH {D}, {T}, c AS (SELECT camera, min(first_ts) AS c0, max(last_ts) AS c1 FROM t GROUP BY camera), v AS (SELECT t.*, first_ts - c0 < (c1 - c0) * 0.05::DOUBLE AS a, c1 - last_ts < (c1 - c0) * 0.05::DOUBLE AS b FROM t JOIN c USING (camera) WHERE entity_type = 'vehicle')
  SELECT camera, track_id, segment, CASE WHEN a THEN 'departure' ELSE 'arrival' END AS event, CASE WHEN a THEN last_ts ELSE first_ts END AS event_ts FROM v WHERE a <> b"""),

@@ -144,6 +144,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(entries).alias("ord", "e")).select("ord", "e.*")
 
 
+def append_manifest(spark: SparkSession, path: str, entries: DataFrame) -> None:
+    """Add ``entries`` to a manifest, a JSON list in one file, which is made where there is none. The old file stays until the new one is whole.
+
+    A manifest has one entry per recording and is written as one value, as its readers want it.
+    """
+    fields = [f.strip().split(":")[0] for f in MANIFEST[len("array<struct<") : -2].split(",")]
+    new = entries.select(*fields).withColumn("ord", F.monotonically_increasing_id() + (1 << 40))
+    if exists(spark, path):
+        new = read_manifest(spark, path).select("ord", *fields).unionByName(new)
+    rows = new.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", *fields))), lambda e: F.struct(*[e[c].alias(c) for c in fields]))).alias("value"))
+    fs, place = _folder(spark, path)
+    made = _folder(spark, f"{path}.new")[1]
+    rows.coalesce(1).write.mode("overwrite").text(f"{path}.new")
+    (part,) = [s.getPath() for s in fs.listStatus(made) if s.getPath().getName().startswith("part-")]
+    fs.delete(place, True)
+    fs.rename(part, place)
+    fs.delete(made, True)
+
+
 def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """MATCH, MISMATCH or NOT_FOUND for files ``(path, sha256)`` by path or hash, the first entry counting."""
     m = manifest.select("ord", F.col("source_path").alias("m_path"), F.col("sha256").alias("m_sha"))

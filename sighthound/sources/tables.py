@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 REPORT = """sha256 string, source_path string, model_path string, confidence_threshold double, frame_stride int, device string, imgsz int,
@@ -30,17 +34,50 @@ def report_detections(reports: DataFrame) -> DataFrame:
     return df.select("sha256", "frame_pos", "frame_index", "timestamp_seconds", "box_pos", "box.class_id", "box.class_name", "box.confidence", *xy)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``(path, ord, line)`` of text files, counted from 0 within a file.
+
+    Each input split is a partition with its place in the file, so a running count within it and the sum of the splits
+    before it give the number; no task holds a file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("path", "at").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    before = F.sum("c").over(W.partitionBy("path").orderBy("at")) - F.col("c")
+    starts = counts.select("path", "at", (before - F.col("low")).alias("shift"))
+    return lines.join(starts, ["path", "at"]).select("path", (F.col("id") + F.col("shift")).alias("ord"), F.col("value").alias("line"))
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """Packet lines ``pts,duration,flags``: the line's number stays, lines that are blank or too short go, N/A is null."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     part = F.split("line", ",")
-    lines = lines.filter((F.trim("line") != "") & (F.size(part) >= 3))
+    lines = numbered_lines(spark, path).filter((F.trim("line") != "") & (F.size(part) >= 3))
     return lines.select("ord", F.get(part, F.lit(0)).try_cast("double").alias("pts"), F.get(part, F.lit(1)).try_cast("double").alias("duration"), F.contains(F.get(part, F.lit(2)), F.lit("K")).alias("key_frame"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Files with size and SHA-256."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
+    """Files with size and SHA-256, of any length: paths are listed, and a task reads its files ``piece`` bytes at a time.
+
+    Tasks open files as Arrow's file systems do (local paths and the schemes that these know); a file is read once.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
+
+    def run(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            made = []
+            for uri in batch["path"].to_pylist():
+                system, place = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as f:
+                    while block := f.read(piece):
+                        digest.update(block)
+                made.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["size_bytes"], pa.array(made, pa.string())], ["path", "size_bytes", "sha256"])
+
+    return files.mapInArrow(run, "path string, size_bytes long, sha256 string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
