@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import identities as I
+from .operators.durable import durable
 from .operators.evaluation import evaluation, system_tracks
 from .operators.stateful import iou_tracker
 from .sources.store import Store, read_manifest, verify, write_reports
@@ -79,8 +78,8 @@ class Engine:
     def track(self, path: str, least_iou: float = 0.3, max_gap: int = 2, keep: bool = False) -> DataFrame:
         tracks = track_reports(read_reports(self.spark, path), least_iou, max_gap)
         if keep:
-            for row in read_reports(self.spark, path).select("sha256").distinct().toLocalIterator():
-                self.store.store_tracks(row["sha256"], tracks.filter(F.col("sha256") == row["sha256"]).drop("sha256"))
+            tracks = durable(tracks)
+            self.store.replace_tracks(read_reports(self.spark, path).select("sha256"), tracks)
         return tracks
 
     def query(self, sha256: str, class_name: str | None = None, min_conf: float = 0.0, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -93,11 +92,7 @@ class Engine:
         """``(entity_id, entity_type, root)`` of the stored entities of some cameras, or all; every two cameras are matched."""
         e = self.store.table("entities")
         e = I.durable(e.filter(F.col("camera").isin(cameras)) if cameras else e)
-        names = [r[0] for r in e.select("camera").distinct().orderBy("camera").collect()]  # one row per camera
-        matches = self.spark.createDataFrame([], "a bigint, b bigint, entity_type string, similarity double")
-        for a, b in itertools.combinations(names, 2):
-            matches = matches.unionByName(I.durable(I.match_cameras(e, a, b, limits)))
-        return I.identities(e, I.durable(matches), limits)
+        return I.identities(e, I.durable(I.match_all(e, limits)), limits)
 
     def evaluate(self, truth: str, least: float = 0.3) -> DataFrame:
         """Scores of the stored entities against a file of true appearances, which may narrow the cameras."""

@@ -57,10 +57,10 @@ def away_text(seconds: Column) -> Column:
 
 def overlay_time(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` in what was read off a picture, common misreadings mended; null where there is none."""
-    # What is mended, in this order.
+    # What is mended, in this order, and what is looked for then.
+    found = r"(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})"
     for pattern, put in ((r"(\d)\s*:\s*(\d)", "$1:$2"), (r"(\d)\s*-\s*(\d)", "$1-$2"), ("_", "-"), (r"(\d),(\d)", "$1 $2"), (r"\b([12])\d(\d{3})\b", "$1$2")):
         text = F.regexp_replace(text, pattern, put)
-    found = r"(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})"
     return F.nullif(F.concat_ws(" ", F.nullif(F.regexp_extract(text, found, 1), F.lit("")), F.nullif(F.regexp_extract(text, found, 2), F.lit(""))), F.lit(""))
 
 

@@ -20,7 +20,7 @@ def iou_tracker(d: DataFrame, threshold: float = 0.3, max_gap: int = 2) -> DataF
 
     A detection joins the open track of the best overlap of at least ``threshold`` with the track's last box, the older of
     equals, if its last frame is at most ``max_gap`` back; else it opens one. Appends ``track_no``, counted over all
-    classes of a camera in order of birth.
+    classes of a camera in order of birth. Stretches with more than ``max_gap`` frames between them go to tasks of their own.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -42,7 +42,8 @@ def iou_tracker(d: DataFrame, threshold: float = 0.3, max_gap: int = 2) -> DataF
         n = len(out)
         return pa.table({"camera": [t["camera"][0].as_py()] * n, "event_id": [o[0] for o in out], "birth": [o[1] for o in out]})
 
-    made = d.select("camera", "class_name", "frame_idx", "event_id", "x1", "y1", "x2", "y2").groupBy("camera", "class_name").applyInArrow(run, "camera string, event_id long, birth long")
+    cut = islands(d.select("camera", "class_name", "frame_idx", "event_id", "x1", "y1", "x2", "y2"), ["camera", "class_name"], "frame_idx", "frame_idx", F.lit(max_gap))
+    made = cut.groupBy("camera", "class_name", "island").applyInArrow(run, "camera string, event_id long, birth long")
     births = made.filter("event_id = birth").join(d.select("camera", "event_id", "frame_idx"), ["camera", "event_id"])
     numbers = births.withColumn("track_no", F.row_number().over(W.partitionBy("camera").orderBy("frame_idx", "event_id"))).select("camera", "birth", "track_no")
     return made.join(numbers, ["camera", "birth"]).select("camera", "event_id", "track_no")
@@ -69,7 +70,8 @@ def leader_dedup(df: DataFrame, group: str, order: list[str], id_col: str, vecto
 
 def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Duplicate tracks of a camera and type: by first frame, a track takes in later ones that overlap it in time and whose
-    mean boxes overlap by ``threshold``; its last frame grows, its box stays. Gives each tracklet its ``leader``."""
+    mean boxes overlap by ``threshold``; its last frame grows, its box stays. Gives each tracklet its ``leader``. Stretches
+    of frames that no track crosses go to tasks of their own."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("first_frame", "key", "last_frame", "x1", "y1", "x2", "y2")), strict=True))
@@ -86,7 +88,8 @@ def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
                     last = max(last, end)
         return pa.table({"key": list(lead), "leader": list(lead.values())})
 
-    return t.groupBy("camera", "entity_type").applyInArrow(run, "key long, leader long")
+    cut = islands(t.select("camera", "entity_type", "first_frame", "last_frame", "key", "x1", "y1", "x2", "y2"), ["camera", "entity_type"], "first_frame", "last_frame", F.lit(0))
+    return cut.groupBy("camera", "entity_type", "island").applyInArrow(run, "key long, leader long")
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, max_gap: Column) -> DataFrame:
@@ -113,6 +116,7 @@ def merge_fragments(t: DataFrame, person_iou: float = 0.3, vehicle_iou: float =
         rows = sorted(zip(*(table[c].to_pylist() for c in cols), strict=True), key=lambda r: r[:2])
         vec = [None if r[8] is None else np.asarray(r[8], np.float64) for r in rows]
         size = [(r[6] - r[4]) * (r[7] - r[5]) for r in rows]
+        # Fixed values, here and below: seconds apart, likeness, overlap of boxes, ratio of sizes.
         most = 600 if car else 90
         earliest = np.minimum.accumulate([r[2] for r in rows][::-1])[::-1].tolist()
         lead = [-1] * len(rows)

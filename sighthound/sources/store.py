@@ -90,9 +90,14 @@ class Store:
 
     def store_tracks(self, sha256: str, tracks: DataFrame) -> None:
         """Replace the tracks ``(track_id, class_name, start_frame, end_frame, start_time, end_time, points)`` of a video, which must be known."""
-        if not self.has("videos") or self.table("videos").filter(F.col("sha256") == sha256).isEmpty():
-            raise ValueError(f"no video {sha256} is stored")
-        replace(f"{self.path}/tracks", "sha256", tracks.withColumn("sha256", F.lit(sha256)), self.spark.createDataFrame([(sha256,)], "sha256 string"))
+        self.replace_tracks(self.spark.createDataFrame([(sha256,)], "sha256 string"), tracks.withColumn("sha256", F.lit(sha256)))
+
+    def replace_tracks(self, keys: DataFrame, tracks: DataFrame) -> None:
+        """Replace the tracks of all videos ``keys(sha256)``, which must be known, by ``tracks``, which name their video."""
+        unknown = keys if not self.has("videos") else keys.join(self.table("videos").select("sha256"), "sha256", "left_anti")
+        if first := unknown.first():
+            raise ValueError(f"no video {first['sha256']} is stored")
+        replace(f"{self.path}/tracks", "sha256", tracks, keys)
 
     def query_detections(self, sha256: str, class_name: str | None = None, min_conf: float = 0.0, time_range: tuple[float | None, float | None] | None = None) -> DataFrame:
         """Detections of a video by class, least confidence and inclusive times, by time."""

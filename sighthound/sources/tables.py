@@ -57,7 +57,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 def file_hashes(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
     """Files with size and SHA-256, of any length: paths are listed, and a task reads its files ``piece`` bytes at a time.
 
-    Tasks open files as Arrow's file systems do (local paths and the schemes that these know); a file is read once.
+    Empty files are left out, as Spark's listing does. Tasks open files as Arrow's file systems do (local paths and the schemes that these know); a file is read once.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
 

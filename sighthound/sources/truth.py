@@ -13,6 +13,7 @@ TRUTH = f"metadata struct<created: string, annotator: string, cameras: array<str
 
 def template(cameras: list[str], created: str = "") -> str:
     """JSON to fill in: the cameras, and one person as an example."""
+    # The file's format and its texts.
     example = {"description": "Describe appearance here", "appearances": [{"camera": cameras[0] if cameras else "camera1", "frames": [0, 100]}]}
     metadata = {"created": created, "annotator": "", "cameras": cameras, "notes": "Fill in person/vehicle appearances with frame ranges"}
     return json.dumps({"metadata": metadata, "persons": {"P1": example}, "vehicles": {}}, indent=2)

@@ -1,6 +1,7 @@
 """Identities, journeys and evaluation against plain loops."""
 
 import math
+import itertools
 import random
 
 import numpy as np
@@ -140,6 +141,7 @@ def test_identities(spark, seed):
     rows = world(seed)
     e = spark.createDataFrame(rows, SCHEMA)
     matches = I.durable(I.match_cameras(e, "A", "B"))
+    assert sorted(tuple(r) for r in I.match_all(e).collect()) == sorted(tuple(r) for a, b in itertools.combinations(sorted({r[1] for r in rows}), 2) for r in I.match_cameras(e, a, b).collect())
     pairs, want = plain_identities(rows)
     assert {(r["a"], r["b"]) for r in matches.collect()} == pairs
     found = I.durable(I.identities(e, matches))

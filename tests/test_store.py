@@ -21,7 +21,7 @@ def report(sha, *frames):
     return {"sha256": sha, "source_path": f"/v/{sha}", "metadata": {"frame_rate": 10.0}, "detections": [{"frame_index": i, "timestamp_seconds": t, "detections": [shape(b) for b in boxes]} for i, t, boxes in frames]}
 
 
-TWO = report("hash123", (0, 0.0, [("car", 0.8, [0, 0, 1, 1])]), (2, 0.2, [("traffic light", 0.9, [0.1, 0.1, 1, 1])]))
+TWO = report("beef01", (4, 0.5, [("bus", 0.7, [5, 6, 25, 16])]), (9, 1.125, [("cat", 0.65, [40.5, 3.5, 44, 7])]))
 
 
 def test_store(spark, tmp_path):
@@ -30,25 +30,25 @@ def test_store(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(json.dumps(report("other", (0, 0.0, []))))
     e = Engine(spark, str(tmp_path / "db"))
     counts = {r["sha256"]: (r["frames_imported"], r["detections_imported"]) for r in e.import_reports(str(tmp_path / "in")).collect()}
-    assert counts == {"hash123": (2, 2), "other": (1, 0)}
+    assert counts == {"beef01": (2, 2), "other": (1, 0)}
     made = {r["sha256"]: r["created_at"] for r in e.store.table("videos").collect()}
-    assert [r["frame_index"] for r in e.query("hash123", "car", 0.5).collect()] == [0]
-    assert [(r["timestamp_seconds"], r["bbox_xyxy"]) for r in e.query("hash123", "traffic light", start=0.15).collect()] == [(0.2, [0.1, 0.1, 1.0, 1.0])]
-    assert e.query("hash123", start=0.2, end=0.2).count() == 1 and e.query("none").count() == 0
+    assert [r["frame_index"] for r in e.query("beef01", "bus", 0.5).collect()] == [4]
+    assert [(r["timestamp_seconds"], r["bbox_xyxy"]) for r in e.query("beef01", "cat", start=1.0).collect()] == [(1.125, [40.5, 3.5, 44.0, 7.0])]
+    assert e.query("beef01", start=1.125, end=1.125).count() == 1 and e.query("none").count() == 0
 
     with pytest.raises(ValueError, match="no video"):
         e.store.store_tracks("missing", e.track(str(tmp_path / "in" / "a.json")).drop("sha256"))
     e.track(str(tmp_path / "in" / "a.json"), keep=True)
-    assert {(r["class_name"], len(r["points"]), r["label"]) for r in e.tracks("hash123").collect()} == {("car", 1, "track-1"), ("traffic light", 1, "track-2")}
+    assert {(r["class_name"], len(r["points"]), r["label"]) for r in e.tracks("beef01").collect()} == {("bus", 1, "track-1"), ("cat", 1, "track-2")}
 
     # The same video again with fewer frames: replaced, its time of creation and its tracks kept, others untouched.
-    (tmp_path / "in" / "a.json").write_text(json.dumps(report("hash123", (7, 0.7, [("dog", 0.9, [0, 0, 2, 2])]))))
+    (tmp_path / "in" / "a.json").write_text(json.dumps(report("beef01", (7, 0.7, [("dog", 0.9, [0, 0, 2, 2])]))))
     e.import_reports(str(tmp_path / "in" / "a.json"))
-    assert [r["class_name"] for r in e.query("hash123").collect()] == ["dog"] and e.tracks("hash123").count() == 2
+    assert [r["class_name"] for r in e.query("beef01").collect()] == ["dog"] and e.tracks("beef01").count() == 2
     assert {r["sha256"]: r["created_at"] for r in e.store.table("videos").collect()} == made
-    assert {r["sha256"]: (r["frames"], r["detections"]) for r in e.reports().collect()} == {"hash123": (1, 1), "other": (1, 0)}
+    assert {r["sha256"]: (r["frames"], r["detections"]) for r in e.reports().collect()} == {"beef01": (1, 1), "other": (1, 0)}
 
-    args = parser().parse_args(["--db", str(tmp_path / "db"), "query", "hash123", "--class", "dog", "--min-conf", "0.5"])
+    args = parser().parse_args(["--db", str(tmp_path / "db"), "query", "beef01", "--class", "dog", "--min-conf", "0.5"])
     assert run(spark, args).count() == 1
 
 
@@ -66,9 +66,9 @@ def test_reports_manifest_slots(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(TWO))
     reports = read_reports(spark, str(tmp_path / "a.json"))
     write_reports(reports, str(tmp_path / "out"))
-    assert read_written_reports(spark, str(tmp_path / "out")).first()["sha256"] == "hash123"
+    assert read_written_reports(spark, str(tmp_path / "out")).first()["sha256"] == "beef01"
     text = summary_text(summarize(reports)).first()["text"].split("\n")
-    assert text[:2] == ["Source: /v/hash123", "SHA-256: hash123"] and text[5] == "Time span covered: 0.00s – 0.20s" and text[7] == "  - car: 1 detections (first @ 0.00s, last @ 0.00s)"
+    assert text[:2] == ["Source: /v/beef01", "SHA-256: beef01"] and text[5] == "Time span covered: 0.50s – 1.12s" and text[7] == "  - bus: 1 detections (first @ 0.50s, last @ 0.50s)"
     (tmp_path / "m.json").write_text(json.dumps([{"source_path": "/a", "sha256": "1"}, {"source_path": "/a", "sha256": "2"}, {"source_path": "/b", "sha256": "9"}]))
     files = spark.createDataFrame([("/a", "2"), ("/b", "9"), ("/moved", "9"), ("/new", "7")], "path string, sha256 string")
     assert {r["path"]: r["state"] for r in verify(files, read_manifest(spark, str(tmp_path / "m.json"))).collect()} == {"/a": "MISMATCH", "/b": "MATCH", "/moved": "MATCH", "/new": "NOT_FOUND"}
@@ -83,9 +83,9 @@ def test_reports_manifest_slots(spark, tmp_path):
 
 
 def test_track_fixture(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps(report("abc", (0, 0.0, [("car", 0.8, [0, 0, 1, 1])]), (1, 0.1, [("car", 0.85, [0, 0, 1.1, 1.1])]))))
+    (tmp_path / "a.json").write_text(json.dumps(report("cafe", (6, 1.5, [("bus", 0.5, [2, 2, 12, 8])]), (7, 1.75, [("bus", 0.6, [2, 2, 12.5, 8.5])]))))
     (r,) = track_reports(read_reports(spark, str(tmp_path / "a.json")), 0.1).collect()
-    assert (r["class_name"], r["start_frame"], r["end_frame"], len(r["points"])) == ("car", 0, 1, 2)
+    assert (r["class_name"], r["start_frame"], r["end_frame"], len(r["points"])) == ("bus", 6, 7, 2)
 
 
 def test_columns(spark):
