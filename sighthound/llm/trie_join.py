@@ -258,7 +258,9 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int
         return texts.join(df, ["holder", "body"]).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
 
     # Spark's own runtime filter (of a bounded size) keeps texts without a part in a trie out of the exchange.
-    wanted = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    # It is made however large the table of members is, and has 8 MB at most.
+    filters = "spark.sql.optimizer.runtime.bloomFilter"
+    wanted = {f"{filters}.enabled": "true", f"{filters}.applicationSideScanSizeThreshold": "0", f"{filters}.creationSideThreshold": "1000TB"}
     before = {key: spark.conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():
