@@ -12,7 +12,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, materialize, quoted, small_batches, utf8
@@ -193,13 +193,14 @@ def meeting(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(sizes))], ["token", "node", "n"])
 
-    posts = docs.select("text").mapInArrow(run, "token long, node long, n int")
-    several = posts.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("token")
+    # Posts travel once: dealt by token, they are counted by token and then by token and size class where they lie.
+    posts = docs.select("text").mapInArrow(run, "token long, node long, n int").repartition("token")
+    token, group = Window.partitionBy("token"), Window.partitionBy("token", "size")
     size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))).cast("int")
-    shared = posts.join(several, "token").withColumn("size", F.explode(F.array(size, size + 1))).withColumn("own", F.col("size") == size)
-    shared = materialize(shared, "shared")
-    groups = shared.groupBy("token", "size").agg(F.min("node").alias("pivot"), F.max("node").alias("most"), F.count("*").alias("m")).filter("pivot < most").drop("most")
-    met = shared.join(groups, ["token", "size"])
+    shared = posts.select("*", F.min("node").over(token).alias("least"), F.max("node").over(token).alias("most")).filter("least < most")
+    shared = shared.select("token", "node", "n", size.alias("at")).select("*", F.explode(F.array("at", F.col("at") + 1)).alias("size"))
+    met = shared.select("token", "size", "node", "n", (F.col("size") == F.col("at")).alias("own"), F.min("node").over(group).alias("pivot"), F.max("node").over(group).alias("most"), F.count("*").over(group).alias("m"))
+    met = materialize(met.filter("pivot < most").drop("most"), "met")
     large = met.filter((F.col("m") > SMALL) & (F.col("pivot") < F.col("node"))).select("pivot", "node")
     pair = "transform(filter(g, b -> a.node < b.node and (a.own or b.own)), b -> struct(a.node as pivot, b.node as node, greatest(a.n, b.n) as n))"
     small = met.filter(F.col("m") <= SMALL).groupBy("token", "size").agg(F.collect_set(F.struct("node", "own", "n")).alias("g"))
