@@ -256,12 +256,15 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def dealt(df: DataFrame) -> DataFrame:
-        return texts.join(df, ["holder", "body"]).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
+        # The comparison always holds. Spark makes its runtime filter only from tables with a filter of their own.
+        rows = df.filter(F.col("pivot") <= F.col("node"))
+        return texts.join(rows, ["holder", "body"]).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
 
-    # Spark's own runtime filter (of a bounded size) keeps texts without a part in a trie out of the exchange.
-    # It is made however large the table of members is, and has 8 MB at most.
+    # Spark's own runtime filter, of 4 MB, keeps texts without a part in a trie out of the exchange. It is made however large
+    # the table of members is. From some 10 million members on it lets more and more other texts pass, at most all, once.
     filters = "spark.sql.optimizer.runtime.bloomFilter"
     wanted = {f"{filters}.enabled": "true", f"{filters}.applicationSideScanSizeThreshold": "0", f"{filters}.creationSideThreshold": "1000TB"}
+    wanted |= {f"{filters}.expectedNumItems": str(1 << 22), f"{filters}.maxNumItems": str(1 << 22), f"{filters}.numBits": str(1 << 25), f"{filters}.maxNumBits": str(1 << 25)}
     before = {key: spark.conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():
@@ -278,7 +281,7 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int
         probing = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumnRenamed("chunk", "home")
         probing = probing.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("chunk <> home")
         columns = ["holder", "body", "pivot", block, "node"]
-        tasks = stored.select(*columns, F.lit(False).alias("probe")).unionByName(probing.select(*columns, F.lit(True).alias("probe")))
+        tasks = materialize(stored.select(*columns, F.lit(False).alias("probe")).unionByName(probing.select(*columns, F.lit(True).alias("probe"))), "cross")
         more = dealt(tasks).select("pivot", "chunk", "node", "text", "probe").mapInArrow(across, "a long, b long")
         return sets, found.unionByName(materialize(more, "cross-tries"))
     finally:
