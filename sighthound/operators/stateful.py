@@ -1,7 +1,11 @@
-"""Operators whose result depends on the order of rows; one group of rows at a time, in Arrow."""
+"""Operators whose result depends on the order of rows.
+
+Rows stream in order through sorted partitions, and a task holds what is still open of one group only.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +19,11 @@ def iou(a, b) -> float:
     return inter / union if union > 0 else 0.0
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], more: list[str]) -> DataFrame:
+    """``keys``, ``order`` and ``more``, each once, dealt by ``keys`` and sorted by them and ``order`` within partitions."""
+    return df.select(*dict.fromkeys([*keys, *order, *more])).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def iou_tracker(d: DataFrame, threshold: float = 0.3, max_gap: int = 2) -> DataFrame:
     """Give each detection of (camera, class) the number of a track, in order of frame and event.
 
@@ -23,49 +32,73 @@ def iou_tracker(d: DataFrame, threshold: float = 0.3, max_gap: int = 2) -> DataF
     classes of a camera in order of birth. Stretches with more than ``max_gap`` frames between them go to tasks of their own.
     """
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t[c].to_pylist() for c in ("frame_idx", "event_id", "x1", "y1", "x2", "y2")), strict=True))
-        open_tracks: list[list] = []
-        out = []
-        for frame, event, *box in rows:
-            open_tracks = [k for k in open_tracks if frame - k[1] <= max_gap]
-            best, score = None, threshold
-            for k in open_tracks:
-                s = iou(k[2], box)
-                if s >= threshold and (best is None or s > score):
-                    best, score = k, s
-            if best is None:
-                best = [event, frame, box]
-                open_tracks.append(best)
-            best[1], best[2] = frame, box
-            out.append((event, best[0]))
-        n = len(out)
-        return pa.table({"camera": [t["camera"][0].as_py()] * n, "event_id": [o[0] for o in out], "birth": [o[1] for o in out]})
-
+    def run(batches):
+        now, tracks = None, []
+        for batch in batches:
+            births = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                *key, frame, event, x1, y1, x2, y2 = row
+                if key != now:
+                    now, tracks = key, []
+                tracks = [k for k in tracks if frame - k[1] <= max_gap]
+                box, best, score = (x1, y1, x2, y2), None, threshold
+                for k in tracks:
+                    s = iou(k[2], box)
+                    if s >= threshold and (best is None or s > score):
+                        best, score = k, s
+                if best is None:
+                    best = [event, frame, box]
+                    tracks.append(best)
+                best[1], best[2] = frame, box
+                births.append(best[0])
+            yield pa.RecordBatch.from_arrays([batch["camera"], batch["event_id"], pa.array(births, pa.int64())], ["camera", "event_id", "birth"])
+
+    d = d.withColumn("event_id", F.col("event_id").cast("long"))
     cut = islands(d.select("camera", "class_name", "frame_idx", "event_id", "x1", "y1", "x2", "y2"), ["camera", "class_name"], "frame_idx", "frame_idx", F.lit(max_gap))
-    made = cut.groupBy("camera", "class_name", "island").applyInArrow(run, "camera string, event_id long, birth long")
+    made = in_order(cut, ["camera", "class_name", "island"], ["frame_idx", "event_id"], ["x1", "y1", "x2", "y2"]).mapInArrow(run, "camera string, event_id long, birth long")
     births = made.filter("event_id = birth").join(d.select("camera", "event_id", "frame_idx"), ["camera", "event_id"])
     numbers = births.withColumn("track_no", F.row_number().over(W.partitionBy("camera").orderBy("frame_idx", "event_id"))).select("camera", "birth", "track_no")
     return made.join(numbers, ["camera", "birth"]).select("camera", "event_id", "track_no")
 
 
-def leader_dedup(df: DataFrame, group: str, order: list[str], id_col: str, vector: str, threshold: float) -> DataFrame:
-    """Leader clustering within ``group``: in the given order a row joins the first leader whose cosine is ``threshold`` or more, else it leads."""
-    import numpy as np
+def leaders(df: DataFrame, group: str, order: list[str], id_col: str, vector: str, threshold: float, frame: str | None = None) -> DataFrame:
+    """``(id_col, leader)``: in order of ``order`` a row of ``group`` joins the first leader whose cosine is ``threshold``
+    or more, with ``frame`` only one that isn't in the same or the next frame, else it leads. Rows without a vector are left out.
+
+    A task holds the leaders of one group, not its rows.
+    """
+
+    def run(batches):
+        now, n, ids, frames, held = None, 0, [], np.zeros(0), np.zeros((0, 0))
+        for batch in batches:
+            lead = []
+            groups, vectors = batch[group].to_pylist(), np.array(batch[vector].to_pylist(), np.float64)
+            at = batch[frame].to_pylist() if frame else [0] * len(groups)
+            for i, (key, own) in enumerate(zip(groups, batch[id_col].to_pylist(), strict=True)):
+                if n and key != now:
+                    n, ids = 0, []
+                now = key
+                hit = held[:n] @ vectors[i] >= threshold if n else np.zeros(0, bool)
+                hit = np.flatnonzero(hit & (np.abs(frames[:n] - at[i]) > 1) if frame and n else hit)
+                if len(hit):
+                    lead.append(ids[hit[0]])
+                    continue
+                if not n or n == len(held):  # twice the room
+                    held = np.concatenate([held[:n].reshape(n, vectors.shape[1]), np.zeros((max(n, 64), vectors.shape[1]))])
+                    frames = np.concatenate([frames[:n], np.zeros(len(held) - n)])
+                held[n], frames[n] = vectors[i], at[i]
+                n += 1
+                ids.append(own)
+                lead.append(own)
+            yield pa.RecordBatch.from_arrays([batch[id_col].cast(pa.int64()), pa.array(lead, pa.int64())], [id_col, "leader"])
+
+    rows = df.filter(F.col(vector).isNotNull())
+    return in_order(rows, [group], order, [id_col, vector, *([frame] if frame else [])]).mapInArrow(run, f"{id_col} long, leader long")
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in order])
-        ids, v = t[id_col].to_pylist(), np.array(t[vector].to_pylist(), np.float64)
-        leaders: list[int] = []
-        lead = []
-        for i in range(len(ids)):
-            hit = np.flatnonzero(v[leaders] @ v[i] >= threshold) if leaders else []
-            lead.append(ids[leaders[hit[0]]] if len(hit) else ids[i])
-            if not len(hit):
-                leaders.append(i)
-        return pa.table({id_col: ids, "leader": lead})
 
-    return df.groupBy(group).applyInArrow(run, f"{id_col} long, leader long")
+def leader_dedup(df: DataFrame, group: str, order: list[str], id_col: str, vector: str, threshold: float) -> DataFrame:
+    """Leader clustering within ``group``: in the given order a row joins the first leader whose cosine is ``threshold`` or more, else it leads."""
+    return leaders(df, group, order, id_col, vector, threshold)
 
 
 def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -73,23 +106,27 @@ def absorb_concurrent(t: DataFrame, threshold: float = 0.4) -> DataFrame:
     mean boxes overlap by ``threshold``; its last frame grows, its box stays. Gives each tracklet its ``leader``. Stretches
     of frames that no track crosses go to tasks of their own."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("first_frame", "key", "last_frame", "x1", "y1", "x2", "y2")), strict=True))
-        lead: dict[int, int] = {}
-        for i, (_, key, last, *box) in enumerate(rows):
-            if key in lead:
-                continue
-            lead[key] = key
-            for first, other, end, *other_box in rows[i + 1 :]:
-                if first > last:
-                    break  # rows come by first frame
-                if other not in lead and iou(box, other_box) >= threshold:
-                    lead[other] = key
-                    last = max(last, end)
-        return pa.table({"key": list(lead), "leader": list(lead.values())})
+    def run(batches):
+        now, heads = None, []
+        for batch in batches:
+            lead = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                *group, first, key, last, x1, y1, x2, y2 = row
+                if group != now:
+                    now, heads = group, []
+                box = (x1, y1, x2, y2)
+                heads = [h for h in heads if first <= h[1]]  # rows come by first frame
+                head = next((h for h in heads if iou(h[2], box) >= threshold), None)
+                if head is None:
+                    heads.append([key, last, box])
+                    lead.append(key)
+                else:
+                    head[1] = max(head[1], last)
+                    lead.append(head[0])
+            yield pa.RecordBatch.from_arrays([batch["key"].cast(pa.int64()), pa.array(lead, pa.int64())], ["key", "leader"])
 
     cut = islands(t.select("camera", "entity_type", "first_frame", "last_frame", "key", "x1", "y1", "x2", "y2"), ["camera", "entity_type"], "first_frame", "last_frame", F.lit(0))
-    return cut.groupBy("camera", "entity_type", "island").applyInArrow(run, "key long, leader long")
+    return in_order(cut, ["camera", "entity_type", "island"], ["first_frame", "key"], ["last_frame", "x1", "y1", "x2", "y2"]).mapInArrow(run, "key long, leader long")
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, max_gap: Column) -> DataFrame:
@@ -107,46 +144,48 @@ def merge_fragments(t: DataFrame, person_iou: float = 0.3, vehicle_iou: float =
     place or the looks, vehicles up to 600 s both (and like sizes), or nearly the same box where there are no vectors.
     Stretches of time between which nothing can merge go to tasks of their own.
     """
-    import numpy as np
-
-    cols = ("first_frame", "key", "first_ts", "last_ts", "x1", "y1", "x2", "y2", "embedding")
-
-    def run(table: pa.Table) -> pa.Table:
-        car = table["entity_type"][0].as_py() == "vehicle"
-        rows = sorted(zip(*(table[c].to_pylist() for c in cols), strict=True), key=lambda r: r[:2])
-        vec = [None if r[8] is None else np.asarray(r[8], np.float64) for r in rows]
-        size = [(r[6] - r[4]) * (r[7] - r[5]) for r in rows]
-        # Fixed values, here and below: seconds apart, likeness, overlap of boxes, ratio of sizes.
-        most = 600 if car else 90
-        earliest = np.minimum.accumulate([r[2] for r in rows][::-1])[::-1].tolist()
-        lead = [-1] * len(rows)
-        for i, a in enumerate(rows):
-            if lead[i] >= 0:
-                continue
-            lead[i], end = i, a[3]
-            for j in range(i + 1, len(rows)):
-                if earliest[j] - end > most:
-                    break  # all that follow are too late as well
-                b = rows[j]
-                gap = b[2] - end
-                if lead[j] >= 0 or gap > most:
-                    continue
-                looks = None if vec[i] is None or vec[j] is None else float(vec[i] @ vec[j])
-                if looks is not None and looks < 0.62:
-                    continue
-                place, alike = iou(a[4:8], b[4:8]), looks is not None and looks >= (0.62 if gap < 30 else 0.75)
-                big = max(size[i], size[j])
-                if car:
-                    same = (big <= 0 or min(size[i], size[j]) / big >= 0.4) and (place >= 0.7 if looks is None else place >= vehicle_iou and alike)
+    keys, order = ["camera", "entity_type", "island"], ["first_frame", "key"]
+
+    def run(batches):
+        now, heads = None, []
+        for batch in batches:
+            lead = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                *group, _, key, first, last, x1, y1, x2, y2, embedding, earliest = row
+                if group != now:
+                    now, heads = group, []
+                # Fixed values, here and below: seconds apart, likeness, overlap of boxes, ratio of sizes.
+                car, most = group[1] == "vehicle", 600 if group[1] == "vehicle" else 90
+                heads = [h for h in heads if earliest - h[1] <= most]  # all that follow are too late for the others
+                box, size = (x1, y1, x2, y2), (x2 - x1) * (y2 - y1)
+                vector = None if embedding is None else np.asarray(embedding, np.float64)
+                for head in heads:
+                    gap = first - head[1]
+                    if gap > most:
+                        continue
+                    looks = None if head[4] is None or vector is None else float(head[4] @ vector)
+                    if looks is not None and looks < 0.62:
+                        continue
+                    place, alike = iou(head[2], box), looks is not None and looks >= (0.62 if gap < 30 else 0.75)
+                    big = max(head[3], size)
+                    if car:
+                        same = (big <= 0 or min(head[3], size) / big >= 0.4) and (place >= 0.7 if looks is None else place >= vehicle_iou and alike)
+                    else:
+                        same = place >= (0.5 if looks is None else person_iou) or alike
+                    if same:
+                        head[1] = max(head[1], last)
+                        lead.append(head[0])
+                        break
                 else:
-                    same = place >= (0.5 if looks is None else person_iou) or alike
-                if same:
-                    lead[j], end = i, max(end, b[3])
-        return pa.table({"key": [r[1] for r in rows], "leader": [rows[k][1] for k in lead]})
+                    heads.append([key, last, box, size, vector])
+                    lead.append(key)
+            yield pa.RecordBatch.from_arrays([batch["key"].cast(pa.int64()), pa.array(lead, pa.int64())], ["key", "leader"])
 
     gap = F.when(F.col("entity_type") == "vehicle", 600.0).otherwise(90.0)
     parts = islands(t, ["camera", "entity_type"], "first_ts", "last_ts", gap)
-    return parts.select("camera", "entity_type", "island", *cols).groupBy("camera", "entity_type", "island").applyInArrow(run, "key long, leader long")
+    back = W.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = parts.withColumn("earliest", F.min("first_ts").over(back))
+    return in_order(parts, keys, order, ["first_ts", "last_ts", "x1", "y1", "x2", "y2", "embedding", "earliest"]).mapInArrow(run, "key long, leader long")
 
 
 def spatial_leaders(d: DataFrame, group: list[str], id_col: str, radius: float) -> DataFrame:
@@ -231,23 +270,9 @@ def led_clusters(d: DataFrame, led: DataFrame, group: list[str], id_col: str) ->
 
 def deduplicate_people(df: DataFrame, group: str, id_col: str, threshold: float = 0.47, least_area: float = 2500.0) -> DataFrame:
     """Leaders by falling box area: a person joins the first leader of like looks that isn't in the same or the next frame. Small boxes go unless a group has no others."""
-    import numpy as np
-
     big = F.max("area").over(W.partitionBy(group)) >= least_area
-    kept = df.withColumn("big", big).filter(~F.col("big") | (F.col("area") >= least_area)).filter("embedding is not null")
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t[c].to_pylist() for c in ("area", id_col, "frame_idx", "embedding")), strict=True), key=lambda r: (-r[0], r[1]))
-        v, frames = np.array([r[3] for r in rows], np.float64), np.array([r[2] for r in rows])
-        leaders, lead = [], []
-        for i, r in enumerate(rows):
-            hit = np.flatnonzero((v[leaders] @ v[i] >= threshold) & (np.abs(frames[leaders] - frames[i]) > 1)) if leaders else []
-            lead.append(rows[leaders[hit[0]]][1] if len(hit) else r[1])
-            if not len(hit):
-                leaders.append(i)
-        return pa.table({id_col: [r[1] for r in rows], "leader": lead})
-
-    return kept.select(group, "area", id_col, "frame_idx", "embedding").groupBy(group).applyInArrow(run, f"{id_col} long, leader long")
+    kept = df.withColumn("big", big).filter(~F.col("big") | (F.col("area") >= least_area)).withColumn("smaller", -F.col("area"))
+    return leaders(kept, group, ["smaller", id_col], id_col, "embedding", threshold, "frame_idx")
 
 
 def deduplicate_vehicles(df: DataFrame, group: str, id_col: str, threshold: float = 0.7) -> DataFrame:

@@ -43,7 +43,7 @@ def asof_person_vehicle(spark, sf):
     d = detections(spark, sf)
     v = d.filter("entity_type = 'vehicle'").select("camera", F.col("event_id").alias("vehicle_event"), F.col("ts_sec").alias("v_ts"))
     p = d.filter("entity_type = 'person'").select("camera", F.col("event_id").alias("person_event"), F.col("ts_sec").alias("p_ts"))
-    return nearest(v, p, ["camera"], "v_ts", "p_ts", 600.0, ["vehicle_event"], ["person_event"]).select("vehicle_event", "person_event", F.round("gap", 6).alias("gap"))
+    return nearest(v, p, ["camera"], "v_ts", "p_ts", 600.0, ["person_event"]).select("vehicle_event", "person_event", F.round("gap", 6).alias("gap"))
 
 
 def poi_probe(spark, sf):

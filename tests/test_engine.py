@@ -4,14 +4,15 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sighthound.functions.colour import colour_name
 from sighthound.functions.geometry import box, box_iou, temporal_bonus
 from sighthound.functions.text import duration, frame_rate
-from sighthound.operators.joins import greedy_match, similar_pairs
-from sighthound.operators.stateful import first_returns, iou, iou_tracker
+from sighthound.operators.joins import greedy_match, nearest, similar_pairs
+from sighthound.operators.stateful import first_returns, iou, iou_tracker, leaders
 from sighthound.operators.tracks import split_at_break
 from sighthound.sources.tables import file_hashes, numbered_lines, read_packets, read_reports, report_detections, report_frames
 
@@ -144,3 +145,38 @@ def test_entry_without_training_data():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_is_the_plain_search(spark):
+    r = random.Random(5)
+    time = lambda: r.choice([None, *(float(r.randrange(60)) for _ in range(9))])
+    events = [(r.choice(["a", "a", "b", None]), i, time()) for i in range(200)]
+    others = [(r.choice(["a", "b", "c", None]), r.choice([None, *range(9)]), time(), i) for i in range(80)]
+    got = nearest(spark.createDataFrame(events, "camera string, e long, at_e double"), spark.createDataFrame(others, "camera string, o long, at_o double, n long"), ["camera"], "at_e", "at_o", 3.0, ["o", "n"])
+    want = set()
+    for camera, e, at in events:
+        near = [(abs(at - t), -1 if o is None else o, n) for c, o, t, n in others if None not in (camera, at, t) and c == camera and abs(at - t) <= 3.0]
+        if near:
+            want.add((camera, e, *min(near)))
+    assert {(x["camera"], x["e"], x["gap"], -1 if x["o"] is None else x["o"], x["n"]) for x in got.collect()} == want and len(want) > 50
+    assert nearest(got.filter("false").select("camera", "e", "at_e"), got.select("camera", "o", "at_o"), ["camera"], "at_e", "at_o", 3.0, ["o"]).isEmpty()
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_leaders_are_those_of_a_plain_loop(spark, apart):
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(400, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(f"g{i % 3}" if i % 7 else None, i, int(draw.integers(40)), vectors[i].tolist() if i % 11 else None) for i in range(400)]
+    want, held = {}, {}
+    for group, i, frame, vector in sorted(rows, key=lambda x: -x[1]):
+        if vector is None:
+            continue
+        mine = held.setdefault(group, [])
+        hit = next((k for k, f, v in mine if np.dot(v, vector) >= 0.8 and (not apart or abs(f - frame) > 1)), None)
+        want[i] = i if hit is None else hit
+        if hit is None:
+            mine.append((i, frame, vector))
+    d = spark.createDataFrame([(*x, -x[1]) for x in rows], "grp string, id long, frame int, v array<double>, back long")
+    got = {x["id"]: x["leader"] for x in leaders(d, "grp", ["back"], "id", "v", 0.8, "frame" if apart else None).collect()}
+    assert got == want and 50 < len(set(want.values())) < len(want)
