@@ -9,10 +9,11 @@ matched once, and a subtree is left when the remaining lengths can't reach the o
 from __future__ import annotations
 
 from bisect import bisect_right
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import documents, materialize, quoted, small_batches, utf8
@@ -29,6 +30,8 @@ EDGE = 48
 #: Rare shingles that similar sets must share (or all that they need to have in common, where that is less), and the
 #: largest group at one shingle whose pairs are counted; sets of larger groups meet by the pivot however few they share.
 SHARE, SMALL = 8, 8
+#: Most members that a runtime filter is laid out for, and its most bits.
+MEMBERS, FILTER_BITS = 1 << 22, 1 << 25
 NO_ID = -(1 << 63)
 #: A word, as the shingles take them.
 WORD = r"[^\x20\x09-\x0D]"
@@ -209,6 +212,28 @@ def meeting(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
     return large.unionByName(small).distinct()
 
 
+@contextmanager
+def runtime_filter(spark: SparkSession, members: int):
+    """While this lasts, Spark makes its runtime filters however large the table is that they are made from.
+
+    They keep texts without a part in a trie out of the exchange. Such a filter, of 16 bits a member, passes the driver
+    several times, whole. It has 4 MB at most: from some 10 million members on it lets more and more other texts pass, at
+    most all, once.
+    """
+    filters, items = "spark.sql.optimizer.runtime.bloomFilter", min(max(members, 1 << 10), MEMBERS)
+    bits = min(16 * items, FILTER_BITS)
+    wanted = {f"{filters}.enabled": "true", f"{filters}.applicationSideScanSizeThreshold": "0", f"{filters}.creationSideThreshold": "1000TB"}
+    wanted |= {f"{filters}.expectedNumItems": str(items), f"{filters}.maxNumItems": str(items), f"{filters}.numBits": str(bits), f"{filters}.maxNumBits": str(bits)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
     """Sets of the rows ``(doc_id, body, text)`` and enough links between sets to connect all that links connect.
 
@@ -260,33 +285,24 @@ def links(docs: DataFrame, k: int, percent: int, chunk: int = CHUNK, weight: int
         rows = df.filter(F.col("pivot") <= F.col("node"))
         return texts.join(rows, ["holder", "body"]).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
 
-    # Spark's own runtime filter, of 4 MB, keeps texts without a part in a trie out of the exchange. It is made however large
-    # the table of members is. From some 10 million members on it lets more and more other texts pass, at most all, once.
-    filters = "spark.sql.optimizer.runtime.bloomFilter"
-    wanted = {f"{filters}.enabled": "true", f"{filters}.applicationSideScanSizeThreshold": "0", f"{filters}.creationSideThreshold": "1000TB"}
-    wanted |= {f"{filters}.expectedNumItems": str(1 << 22), f"{filters}.maxNumItems": str(1 << 22), f"{filters}.numBits": str(1 << 25), f"{filters}.maxNumBits": str(1 << 25)}
-    before = {key: spark.conf.get(key) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
+    cut = members.filter("chunks > 1")
+    total, chunks = members.agg(F.count("*"), F.max("chunks")).first()
+    with runtime_filter(spark, total):
         made = materialize(dealt(members.select("holder", "body", "pivot", "chunk", "node")).select("pivot", "chunk", "node", "text").mapInArrow(within, "pivot long, chunk int, a long, b long"), "tries")
-        found = made.filter("b is not null").select("a", "b")
-        cut = members.filter("chunks > 1")
-        if cut.isEmpty():
-            return sets, found
-        apart = made.filter("b is null").select("pivot", F.col("a").alias("node")).join(cut, ["pivot", "node"])
-        blocks = apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks"))
-        block = F.concat_ws(":", "chunk", "block").alias("chunk")
-        stored = cut.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        probing = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumnRenamed("chunk", "home")
-        probing = probing.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("chunk <> home")
-        columns = ["holder", "body", "pivot", block, "node"]
-        tasks = materialize(stored.select(*columns, F.lit(False).alias("probe")).unionByName(probing.select(*columns, F.lit(True).alias("probe"))), "cross")
-        more = dealt(tasks).select("pivot", "chunk", "node", "text", "probe").mapInArrow(across, "a long, b long")
-        return sets, found.unionByName(materialize(more, "cross-tries"))
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    found = made.filter("b is not null").select("a", "b")
+    if (chunks or 1) == 1:
+        return sets, found
+    apart = made.filter("b is null").select("pivot", F.col("a").alias("node")).join(cut, ["pivot", "node"])
+    blocks = apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks"))
+    block = F.concat_ws(":", "chunk", "block").alias("chunk")
+    stored = cut.join(blocks, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    probing = apart.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")).withColumnRenamed("chunk", "home")
+    probing = probing.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("chunk <> home")
+    columns = ["holder", "body", "pivot", block, "node"]
+    tasks = materialize(stored.select(*columns, F.lit(False).alias("probe")).unionByName(probing.select(*columns, F.lit(True).alias("probe"))), "cross")
+    with runtime_filter(spark, total):
+        more = materialize(dealt(tasks).select("pivot", "chunk", "node", "text", "probe").mapInArrow(across, "a long, b long"), "cross-tries")
+    return sets, found.unionByName(more)
 
 
 def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK, weight: int = WEIGHT) -> DataFrame:

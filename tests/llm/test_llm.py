@@ -507,6 +507,24 @@ def test_session_settings_stay(spark, docs):
     assert spark.conf.get(key) == before
 
 
+def test_runtime_filters_fit_their_members(spark, docs, monkeypatch):
+    """They pass the driver whole: a few members make a small filter, and only the two joins with the texts make one."""
+    seen, write, key = {}, trie_join.materialize, "spark.sql.optimizer.runtime.bloomFilter"
+
+    def note(df, name, *args):
+        seen[name] = spark.conf.get(f"{key}.creationSideThreshold"), int(spark.conf.get(f"{key}.numBits")), int(spark.conf.get(f"{key}.maxNumBits"))
+        return write(df, name, *args)
+
+    monkeypatch.setattr(trie_join, "materialize", note)
+    usual = spark.conf.get(f"{key}.creationSideThreshold")
+    trie_join.jaccard_classes(docs, 2, 50, chunk=2).collect()
+    assert {name for name, x in seen.items() if x[0] != usual} == {"tries", "cross-tries"}
+    assert all(x[1] == x[2] <= 1 << 14 for name, x in seen.items() if name in ("tries", "cross-tries"))
+    for members, bits in ((0, 1 << 14), (100_000, 1_600_000), (1 << 21, 1 << 25), (1 << 40, 1 << 25)):
+        with trie_join.runtime_filter(spark, members):
+            assert int(spark.conf.get(f"{key}.numBits")) == bits
+
+
 def test_other_tokenizers_go_through_the_library(docs):
     import tokenizers
 
