@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from sighthound.llm import mixing, pseudonyms, queries
+from sighthound.llm import mixing, pseudonyms, queries, trie_join
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -154,6 +154,13 @@ def test_near_duplicate_stage(docs):
     assert sorted(r["text"] for r in kept if r["doc_id"] == 0) == sorted({r["text"] for r in docs.collect() if r["doc_id"] == 0})
 
 
+def test_near_duplicate_stage_makes_small_filters(spark, docs, monkeypatch):
+    bits, write = {}, trie_join.materialize
+    monkeypatch.setattr(trie_join, "materialize", lambda df, name: [bits.setdefault(name, int(spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.numBits"))), write(df, name)][1])
+    pipeline.near_duplicates(spark, docs, "").count()
+    assert bits["tries"] <= 1 << 14
+
+
 def test_personal_data_stage(docs):
     before, after = ({(r["doc_id"], r["source"], r["text"]) for r in d.collect()} for d in (docs, pipeline.personal_data(docs.sparkSession, docs, "")))
     assert {x[0] for x in before - after} == {103} and all(x[2] is None or len(x[2]) > 0 or x[0] == 101 for x in after)
