@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """Half away from zero of the product in double, as the SQL's ``round``; Spark's own rounds the shortest decimal of ``x``, which differs where a double only comes near a half."""
+    return F.round((F.col(x) if isinstance(x, str) else x) * float(10**places)) / float(10**places)
+
+
 def clean_plate(text: Column) -> Column:
     """Letters and digits only, in upper case."""
     return F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))

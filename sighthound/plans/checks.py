@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.colour import clothing_cluster, hair_colour, vehicle_cluster
-from ..functions.text import away_text, frame_rate, gap_text, moment, overlay_time
+from ..functions.text import away_text, frame_rate, gap_text, moment, overlay_time, rounded
 from ..functions.video import auto_stride, metadata_flags, motion, padded
 from ..operators.tracks import gap_split
 from ..sources.store import recorder_slots
@@ -22,29 +22,29 @@ def overlay_timestamp(spark, sf):
 
 
 def framerate_parse(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.round(frame_rate(F.concat(F.col("p_size").cast("string"), F.lit("/"), (F.col("p_partkey") % 3).cast("string"))), 6).alias("fps"))
+    return table(spark, sf, "part").select("p_partkey", rounded(frame_rate(F.concat(F.col("p_size").cast("string"), F.lit("/"), (F.col("p_partkey") % 3).cast("string"))), 6).alias("fps"))
 
 
 def metadata_checks(spark, sf):
     """Declared against found length, rate and frames, one row per flag."""
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 10.0).alias("secs"), F.expr("cast(p_size * 250 + p_partkey % 11 * 20 as bigint)").alias("frames"), F.expr("cast(p_size * 1000 + p_partkey % 7 * 900 as double)").alias("size"))
     f = metadata_flags(F.col("secs"), F.col("frames"), F.lit(25.0), F.col("size"), F.lit(800.0), (F.col("secs") * 25).cast("long"))
-    return p.select("p_partkey", F.inline(f)).select("p_partkey", "check", "severity", F.round("confidence", 6).alias("confidence"))
+    return p.select("p_partkey", F.inline(f)).select("p_partkey", "check", "severity", rounded("confidence", 6).alias("confidence"))
 
 
 def quality_drops(spark, sf):
     """Values far below their class's mean and below a half."""
     w = W.partitionBy("class_name")
-    d = detections(spark, sf).withColumn("q", F.round(F.col("conf"), 4))
+    d = detections(spark, sf).withColumn("q", rounded(F.col("conf"), 4))
     least = F.greatest(F.avg("conf").over(w) - 3 * F.stddev_pop("conf").over(w), F.lit(0.3))
     d = d.withColumn("least", least).filter((F.col("q") < F.col("least")) & (F.col("q") < 0.5))
-    return d.select("event_id", F.when(F.col("q") < 0.2, "critical").otherwise("warning").alias("severity"), F.round(1 - F.col("q"), 4).alias("confidence"))
+    return d.select("event_id", F.when(F.col("q") < 0.2, "critical").otherwise("warning").alias("severity"), rounded(1 - F.col("q"), 4).alias("confidence"))
 
 
 def nearest_frame(spark, sf):
     """The detection of each track that is nearest to noon of the tenth day."""
     at = 9 * 86400.0 + 43200
-    return detections(spark, sf).groupBy("camera", "track_id").agg(F.min_by("event_id", F.struct(F.abs(F.col("ts_sec") - at), "event_id")).alias("event_id"), F.round(F.min(F.abs(F.col("ts_sec") - at)), 6).alias("off"))
+    return detections(spark, sf).groupBy("camera", "track_id").agg(F.min_by("event_id", F.struct(F.abs(F.col("ts_sec") - at), "event_id")).alias("event_id"), rounded(F.min(F.abs(F.col("ts_sec") - at)), 6).alias("off"))
 
 
 def motion_join(spark, sf):
@@ -87,7 +87,7 @@ def strides(spark, sf):
 
 
 def time_texts(spark, sf):
-    d = detections(spark, sf).withColumn("t", F.round(F.col("ts_sec") / 100, 2))
+    d = detections(spark, sf).withColumn("t", rounded(F.col("ts_sec") / 100, 2))
     return d.select("event_id", gap_text(F.col("t")).alias("gap"), away_text(F.col("t")).alias("away"), F.date_format(moment(F.lit("2024-03-01"), F.lit("08:00:00"), F.floor("ts_sec")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

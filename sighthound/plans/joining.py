@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou, dot, range_iou
+from ..functions.text import rounded
 from ..operators.joins import greedy_match, interval_join, nearest, similar_pairs
 from ..operators.stateful import first_returns
 from ..operators.tracks import TRACKLETS_SQL as T
@@ -20,7 +21,7 @@ def _sides(t, *columns):
 
 
 def cross_camera_pairs(spark, sf):
-    return similar_pairs(gallery(spark, sf), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similar_pairs(gallery(spark, sf), 0.3).select("a", "b", rounded("similarity", 6).alias("similarity"))
 
 
 def overlap_iou(spark, sf):
@@ -29,13 +30,13 @@ def overlap_iou(spark, sf):
     a, b = _sides(t, "camera", "entity_type", "track_id", "segment", "first_ts", "last_ts", "x1", "y1", "x2", "y2")
     j = interval_join(a, b, ["camera", "entity_type"], ("a_first_ts", "a_last_ts"), ("b_first_ts", "b_last_ts"), 86400.0).filter("a_track_id < b_track_id")
     box = lambda s: [F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")]
-    return j.withColumn("iou", F.round(box_iou(box("a"), box("b")), 6)).filter("iou >= 0.25").select("a_track_id", "a_segment", "b_track_id", "b_segment", "iou")
+    return j.withColumn("iou", rounded(box_iou(box("a"), box("b")), 6)).filter("iou >= 0.25").select("a_track_id", "a_segment", "b_track_id", "b_segment", "iou")
 
 
 def time_overlap(spark, sf):
     """Overlap in frames of the extents of tracks with those of the same tracks as moved by an hour."""
     e = detections(spark, sf).groupBy("camera", "track_id").agg(F.min("frame_idx").alias("f0"), F.max("frame_idx").alias("f1"))
-    return e.select("camera", "track_id", F.round(range_iou("f0", "f1", F.col("f0") + 60, F.col("f1") + 60), 6).alias("iou"))
+    return e.select("camera", "track_id", rounded(range_iou("f0", "f1", F.col("f0") + 60, F.col("f1") + 60), 6).alias("iou"))
 
 
 def asof_person_vehicle(spark, sf):
@@ -43,21 +44,21 @@ def asof_person_vehicle(spark, sf):
     d = detections(spark, sf)
     v = d.filter("entity_type = 'vehicle'").select("camera", F.col("event_id").alias("vehicle_event"), F.col("ts_sec").alias("v_ts"))
     p = d.filter("entity_type = 'person'").select("camera", F.col("event_id").alias("person_event"), F.col("ts_sec").alias("p_ts"))
-    return nearest(v, p, ["camera"], "v_ts", "p_ts", 600.0, ["person_event"]).select("vehicle_event", "person_event", F.round("gap", 6).alias("gap"))
+    return nearest(v, p, ["camera"], "v_ts", "p_ts", 600.0, ["person_event"]).select("vehicle_event", "person_event", rounded("gap", 6).alias("gap"))
 
 
 def poi_probe(spark, sf):
     """Persons of the gallery by likeness to vector 0."""
     g = gallery(spark, sf)
     probe = g.filter("vec_id = 0").select(F.col("embedding").alias("probe"), F.lit(1).alias("one"))
-    s = g.filter("entity_type = 'person'").withColumn("one", F.lit(1)).join(F.broadcast(probe), "one").withColumn("similarity", F.round(dot("embedding", "probe"), 6))
+    s = g.filter("entity_type = 'person'").withColumn("one", F.lit(1)).join(F.broadcast(probe), "one").withColumn("similarity", rounded(dot("embedding", "probe"), 6))
     return s.filter("similarity >= 0.2").select("vec_id", "camera", "similarity")
 
 
 def vehicle_topk(spark, sf):
     g = gallery(spark, sf)
     probe = g.filter("vec_id = 0").select(F.col("embedding").alias("probe"), F.lit(1).alias("one"))
-    s = g.filter("entity_type = 'vehicle'").withColumn("one", F.lit(1)).join(F.broadcast(probe), "one").withColumn("similarity", F.round(dot("embedding", "probe"), 6))
+    s = g.filter("entity_type = 'vehicle'").withColumn("one", F.lit(1)).join(F.broadcast(probe), "one").withColumn("similarity", rounded(dot("embedding", "probe"), 6))
     return s.orderBy(F.desc("similarity"), "vec_id").limit(10).select("vec_id", "similarity")
 
 
@@ -72,21 +73,21 @@ def greedy(spark, sf):
     g = gallery(spark, sf)
     pairs = similar_pairs(g.filter(F.col("camera").isin("cam0", "cam1")), 0.3)
     flip = F.col("a") % 4 == 0
-    pairs = pairs.select(F.when(flip, F.col("a")).otherwise(F.col("b")).alias("i"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("j"), F.round("similarity", 6).alias("s"))
+    pairs = pairs.select(F.when(flip, F.col("a")).otherwise(F.col("b")).alias("i"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("j"), rounded("similarity", 6).alias("s"))
     return greedy_match(pairs, "i", "j", "s")
 
 
 def camera_sites(spark, sf):
     """Detections by site: the dimension join."""
     n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    return s.join(n, s.s_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("sites"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("sites"), rounded(F.avg("s_acctbal"), 4).alias("mean"))
 
 
 def round_trips(spark, sf):
     """Departures (purchases) of each user in order, each with the first later return (click) within a day that none before it has."""
     d = detections(spark, sf).filter(F.col("class_name").isin("purchase", "click"))
     got = first_returns(d.select("track_id", F.col("event_id").alias("id"), "ts_sec", (F.col("class_name") == "click").alias("back")), "track_id", 86400.0)
-    return got.select("track_id", "dep", "arr", F.round("away", 6).alias("away"))
+    return got.select("track_id", "dep", "arr", rounded("away", 6).alias("away"))
 
 
 PLANS = {

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, normalised
-from ..functions.text import class_rgb, clock_from, confidence_band, file_stem, first_filled, person_text, vehicle_text
+from ..functions.text import class_rgb, clock_from, confidence_band, file_stem, first_filled, person_text, rounded, vehicle_text
 from ..functions.video import frame_index, frame_seconds, padded, region, similarity_index, upscale
 from ..operators.reading import accepted_words, combined, success_rate, sure_text
 from ..operators.tracks import TRACKLETS_SQL as T
@@ -81,7 +81,7 @@ def running_best(spark, sf):
     """Detections of each track that are surer than all before them."""
     w = W.partitionBy("camera", "track_id").orderBy("frame_idx", "event_id").rowsBetween(W.unboundedPreceding, -1)
     d = detections(spark, sf).withColumn("before", F.max("conf").over(w))
-    return d.filter("before is null or conf > before").select("event_id", "camera", "track_id", F.round("conf", 6).alias("conf"))
+    return d.filter("before is null or conf > before").select("event_id", "camera", "track_id", rounded("conf", 6).alias("conf"))
 
 
 def report_preview(spark, sf):
@@ -108,18 +108,18 @@ def plates_read(spark, sf):
     """Accepted words of each plate put together; unsure plates stay, without a text."""
     d = _words(spark, sf).withColumn("ok", accepted_words(F.col("words")))
     d = d.select("p_partkey", "camera", *combined(F.col("ok")))
-    return d.select("p_partkey", "camera", sure_text(F.col("plate_text"), F.col("plate_confidence"), 0.5).alias("plate_text"), F.round("plate_confidence", 6).alias("plate_confidence"), "raw_text")
+    return d.select("p_partkey", "camera", sure_text(F.col("plate_text"), F.col("plate_confidence"), 0.5).alias("plate_text"), rounded("plate_confidence", 6).alias("plate_confidence"), "raw_text")
 
 
 def plate_rate(spark, sf):
-    return success_rate(plates_read(spark, sf), "camera", "plate_text").withColumn("rate", F.round("rate", 6))
+    return success_rate(plates_read(spark, sf), "camera", "plate_text").withColumn("rate", rounded("rate", 6))
 
 
 def picture_likeness(spark, sf):
     """Structural similarity of each order's picture (quantities) and the next one (prices), from their statistics."""
     g = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity") * 5).alias("a"), (F.col("l_extendedprice") / 500).alias("b")).groupBy("l_orderkey")
     g = g.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("c"))
-    return g.select("l_orderkey", F.round(similarity_index(F.col("ma"), F.col("mb"), F.col("va"), F.col("vb"), F.col("c")), 6).alias("ssim"))
+    return g.select("l_orderkey", rounded(similarity_index(F.col("ma"), F.col("mb"), F.col("va"), F.col("vb"), F.col("c")), 6).alias("ssim"))
 
 
 def unit_vectors(spark, sf):
@@ -127,7 +127,7 @@ def unit_vectors(spark, sf):
     g = gallery(spark, sf).withColumn("stretched", F.transform("embedding", lambda x: x * (F.col("vec_id") % 5)))
     first = g.filter("vec_id = 0").select(F.col("embedding").alias("probe"))
     s = g.crossJoin(F.broadcast(first)).withColumn("unit", normalised("stretched"))
-    return s.select("vec_id", F.round(dot("unit", "probe"), 5).alias("likeness"), F.round(dot("unit", "unit"), 5).alias("length"))
+    return s.select("vec_id", rounded(dot("unit", "probe"), 5).alias("likeness"), rounded(dot("unit", "unit"), 5).alias("length"))
 
 
 def crop_plan(spark, sf):
@@ -154,7 +154,7 @@ def frame_times(spark, sf):
     l = table(spark, sf, "lineitem")  # noqa: E741
     stored = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey"))
     index = frame_index(stored, F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("int") - 3)
-    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", index.cast("long").alias("frame"), F.round(frame_seconds(index, F.floor("l_quantity") % 4), 6).alias("seconds"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", index.cast("long").alias("frame"), rounded(frame_seconds(index, F.floor("l_quantity") % 4), 6).alias("seconds"))
 
 
 def clock_texts(spark, sf):
@@ -168,13 +168,13 @@ def clock_gaps(spark, sf):
     t = tracklets(detections(spark, sf)).withColumn("who", F.floor(F.col("track_id") / 4)).withColumn("start", (F.substring("camera", 4, 1).cast("long") * 977).cast("double"))
     w = W.partitionBy("who").orderBy("first_ts", "track_id", "segment")
     t = t.withColumn("was", F.lag("camera").over(w)).withColumn("left", F.lag(F.col("last_ts") + F.col("start")).over(w))
-    return t.filter("was <> camera").select("who", "track_id", "segment", "was", "camera", F.round(F.col("first_ts") + F.col("start") - F.col("left"), 6).alias("gap"))
+    return t.filter("was <> camera").select("who", "track_id", "segment", "was", "camera", rounded(F.col("first_ts") + F.col("start") - F.col("left"), 6).alias("gap"))
 
 
 def timeline_rows(spark, sf):
     """On camera, off camera and in transit, by identity."""
     t = tracklets(detections(spark, sf)).withColumn("who", F.floor(F.col("track_id") / 4)).select("who", "camera", "first_ts", "last_ts")
-    return timeline(t, "who").select("who", "kind", "place", F.round("begin", 6).alias("begin"), F.round("lasts", 6).alias("lasts"))
+    return timeline(t, "who").select("who", "kind", "place", rounded("begin", 6).alias("begin"), rounded("lasts", 6).alias("lasts"))
 
 
 def presence(spark, sf):
@@ -182,8 +182,8 @@ def presence(spark, sf):
     t = tracklets(detections(spark, sf)).withColumn("who", F.floor(F.col("track_id") / 4))
     w = W.partitionBy("who", "entity_type").orderBy("first_ts", "last_ts", "camera")
     gap = F.col("first_ts") - F.lag("last_ts").over(w)
-    g = t.withColumn("gap", F.greatest(gap, F.lit(0.0))).groupBy("who", "entity_type").agg(F.round(F.min("first_ts"), 6).alias("first_seen"), F.round(F.max("last_ts"), 6).alias("last_seen"), F.round(F.sum(F.col("last_ts") - F.col("first_ts")), 4).alias("on_secs"), F.round(F.coalesce(F.sum("gap"), F.lit(0.0)), 4).alias("off"))
-    return g.select("who", "entity_type", "first_seen", "last_seen", "on_secs", F.when(F.col("entity_type") == "vehicle", "-").otherwise(F.col("off").cast("decimal(18,2)").cast("string")).alias("off_secs"))
+    g = t.withColumn("gap", F.greatest(gap, F.lit(0.0))).groupBy("who", "entity_type").agg(rounded(F.min("first_ts"), 6).alias("first_seen"), rounded(F.max("last_ts"), 6).alias("last_seen"), rounded(F.sum(F.col("last_ts") - F.col("first_ts")), 4).alias("on_secs"), rounded(F.coalesce(F.sum("gap"), F.lit(0.0)), 4).alias("off"))
+    return g.select("who", "entity_type", "first_seen", "last_seen", "on_secs", F.when(F.col("entity_type") == "vehicle", "-").otherwise(rounded("off", 2).cast("decimal(18,2)").cast("string")).alias("off_secs"))
 
 
 def size_split(spark, sf):
@@ -213,7 +213,7 @@ def signed_nearest(spark, sf):
     gap = F.when(F.col("event") == "departure", F.col("at") - F.col("edge")).otherwise(F.col("edge") - F.col("at"))
     j = v.join(p, ["camera", "event", "bucket"]).withColumn("gap", gap).filter(F.abs("gap") <= 3600)
     w = W.partitionBy("camera", "vehicle", "v_segment", "event", "person").orderBy(F.abs("gap"), "edge", "p_segment")
-    return j.withColumn("r", F.row_number().over(w)).filter("r = 1").select("camera", "vehicle", "v_segment", "event", "person", "p_segment", F.round("gap", 6).alias("gap"))
+    return j.withColumn("r", F.row_number().over(w)).filter("r = 1").select("camera", "vehicle", "v_segment", "event", "person", "p_segment", rounded("gap", 6).alias("gap"))
 
 
 def made_times(spark, sf):
@@ -239,7 +239,7 @@ def no_flags(spark, sf):
     risk = F.when(F.col("flags") == 0, F.struct(F.lit("clean").alias("r"), F.lit(1.0).alias("s"))).when(F.col("c") >= 2, F.struct(F.lit("high").alias("r"), F.least(0.5 + 0.1 * F.col("c"), F.lit(1.0)).alias("s")))
     risk = risk.when(F.col("c") == 1, F.struct(F.lit("medium").alias("r"), F.lit(0.7).alias("s"))).when(F.col("w") >= 3, F.struct(F.lit("medium").alias("r"), F.lit(0.6).alias("s")))
     risk = risk.when(F.col("w") >= 1, F.struct(F.lit("low").alias("r"), F.lit(0.5).alias("s"))).otherwise(F.struct(F.lit("clean").alias("r"), F.lit(0.9).alias("s")))
-    return g.select("p_partkey", "flags", risk["r"].alias("risk"), F.round(risk["s"], 6).alias("confidence"))
+    return g.select("p_partkey", "flags", risk["r"].alias("risk"), rounded(risk["s"], 6).alias("confidence"))
 
 
 _REGION = lambda name, top, bottom, left, right: f"floor(x1 + (x2 - x1) * {left}::DOUBLE)::BIGINT AS {name}_x1, floor(y1 + (y2 - y1) * {top}::DOUBLE)::BIGINT AS {name}_y1, floor(x1 + (x2 - x1) * {right}::DOUBLE)::BIGINT AS {name}_x2, floor(y1 + (y2 - y1) * {bottom}::DOUBLE)::BIGINT AS {name}_y2"

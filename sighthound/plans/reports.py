@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..operators.evaluation import score_columns
 from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import detections, table
@@ -83,12 +84,12 @@ def risk_class(spark, sf):
     c, w = F.col("critical"), F.col("warning")
     risk = F.when(c >= 2, "high").when((c == 1) | (w >= 3), "medium").when(w >= 1, "low").otherwise("clean")
     sure = F.when(c >= 2, F.least(0.5 + 0.1 * c, F.lit(1.0))).when(c == 1, 0.7).when(w >= 3, 0.6).when(w >= 1, 0.5).otherwise(0.9)
-    return g.withColumn("risk", risk).withColumn("confidence", F.round(sure, 6))
+    return g.withColumn("risk", risk).withColumn("confidence", rounded(sure, 6))
 
 
 def motion_ratio(spark, sf):
     d = detections(spark, sf).withColumn("has_motion", F.col("conf") >= 0.3)
-    return d.groupBy("camera").agg(F.count_if("has_motion").alias("with_motion"), F.round(F.avg(F.col("has_motion").cast("double")), 6).alias("ratio"))
+    return d.groupBy("camera").agg(F.count_if("has_motion").alias("with_motion"), rounded(F.avg(F.col("has_motion").cast("double")), 6).alias("ratio"))
 
 
 def eval_prf(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.colour import body_build, clothing_group, colour_name
-from ..functions.text import clean_plate, clock, duration
+from ..functions.text import clean_plate, clock, duration, rounded
 from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import detections, table
 
@@ -41,7 +41,7 @@ def segment_ranges(spark, sf):
 
 def area_ratio(spark, sf):
     d = detections(spark, sf)
-    return d.select("event_id", F.round(F.col("w") / F.col("h"), 6).alias("aspect"), F.round(F.hypot(F.col("x1") - 300, F.col("y1") - 200), 6).alias("distance"))
+    return d.select("event_id", rounded(F.col("w") / F.col("h"), 6).alias("aspect"), rounded(F.hypot(F.col("x1") - 300, F.col("y1") - 200), 6).alias("distance"))
 
 
 COLOUR_SQL = """CASE WHEN v < 55 THEN 'black' WHEN s < 50 AND v < 100 THEN 'dark grey' WHEN s < 50 AND v < 200 THEN 'grey' WHEN s < 50 THEN 'white' WHEN s < 140 AND h BETWEEN 85 AND 130 AND v < 140 THEN 'grey'

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..sources.store import Store, append_manifest, read_manifest, read_written_reports, verify, write_reports
 from ..sources.tables import DETECTIONS_SQL as D
 from ..sources.tables import detections, file_hashes, read_packets, report_detections, report_frames, table
@@ -41,13 +42,13 @@ def written_reports(spark, sf):
     path = _folder(spark, "reports")
     write_reports(_reports(spark, sf), path)
     d = report_detections(read_written_reports(spark, path))
-    return d.select("sha256", "frame_pos", "frame_index", "box_pos", "class_name", F.round("confidence", 6).alias("confidence"), "x1", "y2")
+    return d.select("sha256", "frame_pos", "frame_index", "box_pos", "class_name", rounded("confidence", 6).alias("confidence"), "x1", "y2")
 
 
 def written_frames(spark, sf):
     path = _folder(spark, "reports")
     write_reports(_reports(spark, sf), path)
-    return report_frames(read_written_reports(spark, path)).select("sha256", "frame_pos", "frame_index", F.round("timestamp_seconds", 6).alias("at"), F.col("detections_count").cast("long").alias("n"))
+    return report_frames(read_written_reports(spark, path)).select("sha256", "frame_pos", "frame_index", rounded("timestamp_seconds", 6).alias("at"), F.col("detections_count").cast("long").alias("n"))
 
 
 def _store(spark, sf):
@@ -68,7 +69,7 @@ def stored_query(spark, sf):
     store = _store(spark, sf)
     sha = store.table("videos").select(F.min("sha256")).first()[0]
     got = store.query_detections(sha, "click", 0.2, (3600.0, 2_000_000.0))
-    return got.select("frame_index", F.round("timestamp_seconds", 6).alias("at"), "class_name", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("bbox_xyxy", lambda x: x.cast("long").cast("string")), ",").alias("bbox"))
+    return got.select("frame_index", rounded("timestamp_seconds", 6).alias("at"), "class_name", rounded("confidence", 6).alias("confidence"), F.array_join(F.transform("bbox_xyxy", lambda x: x.cast("long").cast("string")), ",").alias("bbox"))
 
 
 def stored_tracks(spark, sf):

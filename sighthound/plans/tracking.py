@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area
+from ..functions.text import rounded
 from ..operators.stateful import absorb_concurrent, iou_tracker, leader_dedup
 from ..operators.tracks import TRACKLETS_SQL as T
 from ..operators.tracks import gap_split, majority, outliers, middle_detection, size_break, tracklets
@@ -61,13 +62,13 @@ def timeline_gaps(spark, sf):
     """Time between the segments of a track, where there is any."""
     w = W.partitionBy("track_id").orderBy("first_ts", "segment")
     t = tracklets(detections(spark, sf)).withColumn("gap", F.col("first_ts") - F.lag("last_ts").over(w))
-    return t.filter("gap > 0").select("camera", "track_id", "segment", F.round("gap", 6).alias("gap"))
+    return t.filter("gap > 0").select("camera", "track_id", "segment", rounded("gap", 6).alias("gap"))
 
 
 def onoff_summary(spark, sf):
     w = W.partitionBy("track_id").orderBy("first_ts", "segment")
     t = tracklets(detections(spark, sf)).withColumn("gap", F.col("first_ts") - F.lag("last_ts").over(w)).withColumn("on", F.col("last_ts") - F.col("first_ts"))
-    return t.groupBy("track_id").agg(F.round(F.sum("on"), 4).alias("on_secs"), F.round(F.sum(F.when(F.col("gap") > 0, F.col("gap")).otherwise(0.0)), 4).alias("off_secs"), F.count_if(F.expr("gap > 0")).alias("gaps"), F.count("*").alias("sightings"), F.array_join(F.array_sort(F.collect_set("camera")), ", ").alias("cameras"))
+    return t.groupBy("track_id").agg(rounded(F.sum("on"), 4).alias("on_secs"), rounded(F.sum(F.when(F.col("gap") > 0, F.col("gap")).otherwise(0.0)), 4).alias("off_secs"), F.count_if(F.expr("gap > 0")).alias("gaps"), F.count("*").alias("sightings"), F.array_join(F.array_sort(F.collect_set("camera")), ", ").alias("cameras"))
 
 
 def pts_gaps(spark, sf):
@@ -75,7 +76,7 @@ def pts_gaps(spark, sf):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "pts")
     p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 10000).alias("pts"))
     p = p.withColumn("step", F.lead("pts").over(w) - F.col("pts")).filter(F.col("step") > F.greatest(F.lit(3 / 25.0), F.lit(0.15)))
-    return p.select("l_orderkey", "l_linenumber", F.round("step", 6).alias("step"), F.when(F.col("step") > 1, "critical").otherwise("warning").alias("severity"))
+    return p.select("l_orderkey", "l_linenumber", rounded("step", 6).alias("step"), F.when(F.col("step") > 1, "critical").otherwise("warning").alias("severity"))
 
 
 def gop_cv(spark, sf):
@@ -84,17 +85,17 @@ def gop_cv(spark, sf):
     p = detections(spark, sf).withColumn("line", F.row_number().over(w)).filter("class_name = 'click'")
     p = p.withColumn("gop", F.col("line") - F.lag("line").over(w))
     g = p.groupBy("track_id").agg(F.count("*").alias("keys"), F.avg("gop").alias("m"), F.stddev_pop("gop").alias("s")).filter("keys >= 3")
-    return g.select("track_id", "keys", F.round(F.try_divide("s", "m"), 6).alias("cv"), (F.try_divide("s", "m") > 0.5).alias("anomaly"))
+    return g.select("track_id", "keys", rounded(F.try_divide("s", "m"), 6).alias("cv"), (F.try_divide("s", "m") > 0.5).alias("anomaly"))
 
 
 def zscore_outliers(spark, sf):
     """Values more than three standard deviations off the mean of all."""
     e = outliers(table(spark, sf, "events").select("event_id", "value"), "value")
-    return e.select("event_id", F.round("z", 5).alias("z"), F.round("confidence", 5).alias("confidence"))
+    return e.select("event_id", rounded("z", 5).alias("z"), rounded("confidence", 5).alias("confidence"))
 
 
 def spread(spark, sf):
-    return detections(spark, sf).groupBy("camera").agg(F.median("conf").alias("median"), F.round(F.avg("conf"), 6).alias("mean"), F.round(F.stddev_pop("conf"), 6).alias("std"), F.min("conf").alias("least"), F.max("conf").alias("most"))
+    return detections(spark, sf).groupBy("camera").agg(F.median("conf").alias("median"), rounded(F.avg("conf"), 6).alias("mean"), rounded(F.stddev_pop("conf"), 6).alias("std"), F.min("conf").alias("least"), F.max("conf").alias("most"))
 
 
 def vehicle_events(spark, sf):
