@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area
 from ..functions.text import rounded
-from ..operators.stateful import absorb_concurrent, iou_tracker, leader_dedup
+from ..operators.stateful import absorb_concurrent, iou_tracker, leader_dedup, running_spread
 from ..operators.tracks import TRACKLETS_SQL as T
 from ..operators.tracks import gap_split, majority, outliers, middle_detection, size_break, tracklets
 from ..sources.tables import DETECTIONS_SQL as D
@@ -84,8 +84,10 @@ def gop_cv(spark, sf):
     w = W.partitionBy("track_id").orderBy("ts_sec", "event_id")
     p = detections(spark, sf).withColumn("line", F.row_number().over(w)).filter("class_name = 'click'")
     p = p.withColumn("gop", F.col("line") - F.lag("line").over(w))
-    g = p.groupBy("track_id").agg(F.count("*").alias("keys"), F.avg("gop").alias("m"), F.stddev_pop("gop").alias("s")).filter("keys >= 3")
-    return g.select("track_id", "keys", rounded(F.try_divide("s", "m"), 6).alias("cv"), (F.try_divide("s", "m") > 0.5).alias("anomaly"))
+    # A key frame without one before it has no distance, so keys are one more than distances.
+    g = running_spread(p, "track_id", ["ts_sec", "event_id"], "gop").filter("n >= 2")
+    cv = F.try_divide("deviation", "mean")
+    return g.select("track_id", (F.col("n") + 1).alias("keys"), rounded(cv, 6).alias("cv"), (cv > 0.5).alias("anomaly"))
 
 
 def zscore_outliers(spark, sf):

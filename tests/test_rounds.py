@@ -39,3 +39,13 @@ def test_presence_hundredths_near_a_half(spark, tmp_path):
         from (values (0, 0), (1, 2188559175000)) v(i, t)) to '{tmp_path}/events.parquet'""")
     got, want = both(spark, "presence", tmp_path)
     assert got == want and got[0][-1] == "2188559.17"
+
+
+def test_gop_spread_on_the_limit(spark, tmp_path):
+    """Distances of key frames whose spread is half of their mean: the running sums of SQL end just above it."""
+    lines = (3, 6, 15, 19, 24, 29, 33, 42, 55, 57, 64, 68, 75)
+    rows = ", ".join(f"({i}, {u}, '{'click' if i in lines else 'view'}')" for u in (7, 8) for i in range(1, 80))
+    duckdb.execute(f"""copy (select i + 100 * u as event_id, timestamp '2024-01-01' + to_minutes(i) as ts, u::bigint as user_id, t as event_type, 1.0 as value, '' as props
+        from (values {rows}, (1, 9, 'click'), (2, 9, 'click')) v(i, u, t)) to '{tmp_path}/events.parquet'""")
+    got, want = both(spark, "gop_cv", tmp_path)
+    assert got == want and got == [(7, 13, 0.5, True), (8, 13, 0.5, True)]
