@@ -49,3 +49,42 @@ def test_gop_spread_on_the_limit(spark, tmp_path):
         from (values {rows}, (1, 9, 'click'), (2, 9, 'click')) v(i, u, t)) to '{tmp_path}/events.parquet'""")
     got, want = both(spark, "gop_cv", tmp_path)
     assert got == want and got == [(7, 13, 0.5, True), (8, 13, 0.5, True)]
+
+
+def plain_truth(truths, tracks, least=0.3):
+    """Pairs by falling overlap, one after the other."""
+    pairs = []
+    for c, g, g0, g1 in truths:
+        for d, s, s0, s1 in tracks:
+            inter = max(min(g1, s1) - max(g0, s0), 0)
+            union = (g1 - g0) + (s1 - s0) - inter
+            if c == d and union > 0 and inter / union >= least:
+                pairs.append((-inter / union, f"{c}|{g0}|{g1}", f"{d}|{s}", g, (c, g, s, inter / union)))
+    one, two, out = set(), set(), set()
+    for _, a, b, _, row in sorted(pairs):
+        if a not in one and b not in two:
+            one.add(a)
+            two.add(b)
+            out.add(row)
+    return out
+
+
+@pytest.mark.parametrize("wide", [12, 2000])
+def test_truth_matches_against_a_loop_without_all_pairs(spark, monkeypatch, wide):
+    """Ties, repeated frames, tracks of several extents, stretches apart; no join makes pairs, and small blocks are passed over."""
+    import random
+
+    from sighthound.operators import evaluation
+
+    rng = random.Random(wide)
+    span = lambda off: (lambda a: (a, a + rng.randrange(wide)))(off + rng.randrange(wide))
+    truths = [("AB"[i % 2], i, *span(4 * wide * (i % 3))) for i in range(240)]
+    tracks = [("AB"[i % 2], i % 200, *span(4 * wide * (i % 3))) for i in range(260)]
+    monkeypatch.setattr(evaluation, "BEST", 3)
+    monkeypatch.setattr(evaluation, "BLOCK", 4)
+    g = spark.createDataFrame([*truths, ("A", 900, None, 5)], "camera string, gt_id long, f0 long, f1 long")
+    s = spark.createDataFrame([*tracks, (None, 900, 1, 5)], "camera string, sys_id long, f0 long, f1 long")
+    made = evaluation.match_truth(g, s)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got)) > 20 and set(got) == plain_truth(truths, tracks)
