@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_iou, dot, range_iou
+from ..functions.geometry import dot, range_iou
 from ..functions.text import rounded
-from ..operators.joins import greedy_match, interval_join, nearest, similar_pairs
+from ..operators.joins import greedy_match, nearest, overlapping_boxes, similar_pairs
 from ..operators.stateful import first_returns
 from ..operators.tracks import TRACKLETS_SQL as T
 from ..operators.tracks import tracklets
@@ -15,11 +15,6 @@ from ..sources.tables import GALLERY_SQL as G
 from ..sources.tables import detections, gallery, table
 
 
-def _sides(t, *columns):
-    a = t.select(*[F.col(c).alias(f"a_{c}") for c in columns])
-    return a, t.select(*[F.col(c).alias(f"b_{c}") for c in columns])
-
-
 def cross_camera_pairs(spark, sf):
     return similar_pairs(gallery(spark, sf), 0.3).select("a", "b", rounded("similarity", 6).alias("similarity"))
 
@@ -27,10 +22,11 @@ def cross_camera_pairs(spark, sf):
 def overlap_iou(spark, sf):
     """Tracklets of a camera and type that overlap in time and in the picture."""
     t = tracklets(detections(spark, sf))
-    a, b = _sides(t, "camera", "entity_type", "track_id", "segment", "first_ts", "last_ts", "x1", "y1", "x2", "y2")
-    j = interval_join(a, b, ["camera", "entity_type"], ("a_first_ts", "a_last_ts"), ("b_first_ts", "b_last_ts"), 86400.0).filter("a_track_id < b_track_id")
-    box = lambda s: [F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")]
-    return j.withColumn("iou", rounded(box_iou(box("a"), box("b")), 6)).filter("iou >= 0.25").select("a_track_id", "a_segment", "b_track_id", "b_segment", "iou")
+    # The limit holds for the rounded overlap.
+    j = overlapping_boxes(t, ["camera", "entity_type"], "first_ts", "last_ts", ["track_id", "segment"], 0.249999, 86400.0)
+    j = j.withColumn("iou", rounded("iou", 6)).filter("a_track_id <> b_track_id and iou >= 0.25")
+    side = lambda p, q: [F.when(F.col("a_track_id") < F.col("b_track_id"), F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")) for c in ("track_id", "segment")]
+    return j.select(*[x.alias(n) for x, n in zip((*side("a", "b"), *side("b", "a")), ("a_track_id", "a_segment", "b_track_id", "b_segment"), strict=True)], "iou")
 
 
 def time_overlap(spark, sf):
