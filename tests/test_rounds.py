@@ -88,3 +88,54 @@ def test_truth_matches_against_a_loop_without_all_pairs(spark, monkeypatch, wide
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
     got = [tuple(r) for r in made.collect()]
     assert len(got) == len(set(got)) > 20 and set(got) == plain_truth(truths, tracks)
+
+
+def some_events(folder, n=400, users=24, days=3, seed=5):
+    duckdb.execute(f"select setseed(0.{seed})")
+    duckdb.execute(f"""copy (select i as event_id, timestamp '2024-01-01' + to_minutes((random() * {days} * 1440)::int) as ts, (random() * {users - 1})::bigint as user_id,
+        case when random() < 0.3 then 'click' else 'view' end as event_type, (random() * 100)::double as value, '' as props from range({n}) t(i)) to '{folder}/events.parquet'""")
+
+
+def test_tracking_quality_counts_the_loop_s_matches(spark, tmp_path):
+    some_events(tmp_path)
+    from sighthound.plans import identity
+
+    gt, system = identity._truth(spark, str(tmp_path))
+    want = plain_truth([tuple(r) for r in gt.collect()], [tuple(r) for r in system.collect()])
+    made = QUERIES["tracking_quality"](spark, str(tmp_path))
+    assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()  # no pairs were written
+    assert {r["camera"]: r["true_positives"] for r in made.collect()} == {c: sum(x[0] == c for x in want) for c in ("cam0", "cam1", "cam2", "cam3")}
+
+
+def test_boxes_that_meet_in_time_against_a_loop(spark):
+    """Rows over many buckets, of no length, of equal start, without a box or a time; the plan makes no pairs by a join."""
+    import random
+
+    from sighthound.operators.joins import overlapping_boxes
+    from sighthound.operators.stateful import iou
+
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        start, x, y = float(rng.randrange(-50, 400)), rng.randrange(30), rng.randrange(30)
+        rows.append(("AB"[i % 2], i, i % 7, start, start + rng.choice([0, 1, 9, 60, 500]), float(x), float(y), float(x + rng.randrange(40)), float(y + rng.randrange(1, 40))))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[3] <= b[4] and b[3] <= a[4] and iou(a[5:], b[5:]) >= 0.25:
+                want.add((frozenset([a[1:3], b[1:3]]), iou(a[5:], b[5:])))
+    odd = [("A", 900, 0, 1.0, 2.0, None, 1.0, 2.0, 3.0), ("A", 901, 0, None, 2.0, 0.0, 0.0, 30.0, 30.0), (None, 902, 0, 1.0, 2.0, 0.0, 0.0, 30.0, 30.0)]
+    t = spark.createDataFrame(rows + odd, "camera string, id long, part int, t0 double, t1 double, x1 double, y1 double, x2 double, y2 double")
+    made = overlapping_boxes(t, ["camera"], "t0", "t1", ["id", "part"], 0.25, 40.0)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(frozenset([(r["a_id"], r["a_part"]), (r["b_id"], r["b_part"])]), r["iou"]) for r in made.collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+    assert overlapping_boxes(t.limit(0), ["camera"], "t0", "t1", ["id", "part"], 0.25, 40.0).count() == 0
+
+
+def test_signed_nearest_chooses_before_the_join(spark, tmp_path):
+    """Persons seen twice as far before as after, and twice in one minute: no window over pairs, the rows of SQL."""
+    some_events(tmp_path, n=900, users=16, days=9)
+    got, want = both(spark, "signed_nearest", tmp_path)
+    assert got == want and len(got) > 20
+    plan = QUERIES["signed_nearest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
