@@ -139,3 +139,98 @@ def test_signed_nearest_chooses_before_the_join(spark, tmp_path):
     assert got == want and len(got) > 20
     plan = QUERIES["signed_nearest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    """Files by name, splits within them, an empty one; a file alone counts from 0."""
+    from sighthound.sources.tables import numbered_lines
+
+    sizes = [3, 0, 4000, 1, 700]
+    for i, n in enumerate(sizes):
+        (tmp_path / f"part-{i:05d}.txt").write_text("".join(f"{i},{k}\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = [r["line"] for r in sorted(numbered_lines(spark, str(tmp_path), on=True).collect(), key=lambda r: r["ord"])]
+        assert got == [f"{i},{k}" for i, n in enumerate(sizes) for k in range(n)]
+        assert {r["ord"] - int(r["line"].split(",")[1]) for r in numbered_lines(spark, str(tmp_path)).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_packet_lines_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from sighthound.plans import stored
+
+    monkeypatch.setattr(stored, "_folder", lambda *_: str(tmp_path / "packets"))
+    QUERIES["packet_lines"](spark, "/root/testdata/sf0.001")
+    assert len([f for f in Path(tmp_path / "packets").glob("part-*") if f.stat().st_size]) > 1
+
+
+def test_tracker_of_a_crowd_against_a_loop(spark):
+    """More open tracks than the first room holds, equal overlaps, empty boxes, tracks that end; the stream is run once."""
+    import random
+
+    from sighthound.operators.stateful import iou, iou_tracker
+
+    rng, rows = random.Random(4), []
+    for i in range(700):
+        x, y = rng.randrange(0, 400, 10), rng.randrange(0, 300, 10)
+        rows.append((i, "A", "k", i // 60 + (9 if i > 500 else 0), float(x), float(y), float(x + rng.choice([0, 20, 30])), float(y + 20)))
+    tracks, want = [], {}
+    for e, _, _, frame, *b in rows:
+        tracks = [k for k in tracks if frame - k[1] <= 2]
+        hits = [(iou(k[2], b), -n, k) for n, k in enumerate(tracks) if iou(k[2], b) >= 0.3]
+        k = max(hits, key=lambda h: h[:2])[2] if hits else None
+        if k is None:
+            k = [e, frame, b]
+            tracks.append(k)
+        k[1], k[2] = frame, b
+        want[e] = k[0]
+    numbers = {b: n + 1 for n, b in enumerate(sorted(set(want.values())))}
+    d = spark.createDataFrame(rows, "event_id long, camera string, class_name string, frame_idx long, x1 double, y1 double, x2 double, y2 double")
+    made = iou_tracker(d)
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["event_id"]: r["track_no"] for r in made.collect()} == {e: numbers[b] for e, b in want.items()} and len(numbers) > 64
+
+
+@pytest.mark.parametrize("blind", [0.0, 0.4, 1.0])
+def test_fragments_of_a_crowd_against_a_loop(spark, blind):
+    """Many open heads over several slices, with and without vectors, likeness right at the limits."""
+    import random
+
+    import numpy as np
+
+    from sighthound.operators.stateful import iou, merge_fragments
+
+    rng, rows = random.Random(6), []
+    for i in range(600):
+        kind, t = "person" if i % 2 else "vehicle", float(rng.randrange(0, 3000))
+        angle = rng.choice([0.0, np.arccos(0.62), np.arccos(0.75), 0.9, 1.6]) + rng.randrange(3) * 2.0
+        v = None if rng.random() < blind else [float(np.cos(angle)), float(np.sin(angle))]
+        x, y, w = rng.randrange(60), rng.randrange(60), rng.choice([10, 30, 40])
+        rows.append((i, "A", kind, int(t // 60), t, t + rng.choice([0, 30, 500]), float(x), float(y), float(x + w), float(y + 30), v))
+    want, heads = {}, []
+    for key, _, kind, frame, first, last, *box, v in sorted(rows, key=lambda r: (r[3], r[0])):
+        size = (box[2] - box[0]) * (box[3] - box[1])
+        for h in heads:
+            gap, place = first - h[1], iou(h[2], box)
+            looks = None if h[4] is None or v is None else float(np.asarray(h[4]) @ np.asarray(v))
+            if h[5] != kind or gap > (600 if kind == "vehicle" else 90) or (looks is not None and looks < 0.62):
+                continue
+            alike, big = looks is not None and looks >= (0.62 if gap < 30 else 0.75), max(h[3], size)
+            if kind == "vehicle":
+                same = (big <= 0 or min(h[3], size) / big >= 0.4) and (place >= 0.7 if looks is None else place >= 0.2 and alike)
+            else:
+                same = place >= (0.5 if looks is None else 0.3) or alike
+            if same:
+                h[1] = max(h[1], last)
+                want[key] = h[0]
+                break
+        else:
+            heads.append([key, last, box, size, v, kind])
+            want[key] = key
+    t = spark.createDataFrame(rows, "key long, camera string, entity_type string, first_frame long, first_ts double, last_ts double, x1 double, y1 double, x2 double, y2 double, embedding array<double>")
+    got = {r["key"]: r["leader"] for r in merge_fragments(t).collect()}
+    assert got == want and len(set(want.values())) < 600
