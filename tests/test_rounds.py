@@ -234,3 +234,35 @@ def test_fragments_of_a_crowd_against_a_loop(spark, blind):
     t = spark.createDataFrame(rows, "key long, camera string, entity_type string, first_frame long, first_ts double, last_ts double, x1 double, y1 double, x2 double, y2 double, embedding array<double>")
     got = {r["key"]: r["leader"] for r in merge_fragments(t).collect()}
     assert got == want and len(set(want.values())) < 600
+
+
+def test_matches_of_equal_vectors_against_a_loop(spark):
+    """Many fragments of few vectors: equal scores go by fragment, those near in time go first; only vectors are paired by the block join."""
+    import random
+
+    from sighthound.operators import identities as I
+
+    rng, rows = random.Random(8), []
+    vectors = [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0], [0.25, 0.75], None]
+    for i in range(160):
+        t = float(rng.randrange(0, 4000, 50))
+        rows.append((rng.randrange(10**6) * 1000 + i, "AB"[i % 2], "person" if i % 3 else "vehicle", t, t + rng.choice([0.0, 100.0]), vectors[rng.choice([0, 0, 1, 2, 3, 4])]))
+    want = set()
+    for kind, least in (("person", 0.5), ("vehicle", 0.6)):
+        pairs, used = [], set()
+        for a in rows:
+            for b in rows:
+                if a[1] == "A" and b[1] == "B" and a[2] == b[2] == kind and a[5] and b[5]:
+                    gap = min(abs(p - q) for p in a[3:5] for q in b[3:5])
+                    score = sum(x * y for x, y in zip(a[5], b[5])) + (0.15 * (1 - gap / 300) if gap < 300 else 0)
+                    pairs += [(-score, a[0], b[0])] if score >= least else []
+        for _, a, b in sorted(pairs):
+            if not {a, b} & used:
+                used |= {a, b}
+                want.add((a, b, kind))
+    e = spark.createDataFrame(rows, "entity_id long, camera string, entity_type string, first_ts double, last_ts double, embedding array<double>")
+    made = I.match_cameras(e, "A", "B")
+    got = [(r["a"], r["b"], r["entity_type"]) for r in made.collect()]
+    assert len(got) == len(set(got)) > 30 and set(got) == want
+    assert "members" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert I.match_cameras(e.limit(0), "A", "B").count() == 0
